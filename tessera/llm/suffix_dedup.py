@@ -279,10 +279,12 @@ def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[s
     rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).cast("binary").alias("_text"))
     raw = rows.select("_row", "_text")
     found = stage(raw.mapInArrow(_map_runs(length, gram), "row long, anchor long, name long, first int, last int, times int"))
-    distinct = found.groupBy("anchor", "name").agg(F.count("*").alias("weight"), F.sum("times").alias("times"), F.min(F.struct("row", "first", "last")).alias("at"))
-    distinct = stage(distinct)
-    anchors = distinct.groupBy("anchor").agg(F.sum("times").alias("all"), F.count("*").alias("n")).where("all > 1")
-    wanted = distinct.join(anchors, "anchor").select(
+    # Anchors seen once go first, on narrow pre-aggregated rows; what follows moves only the rest.
+    anchors = found.groupBy("anchor").agg(F.sum("times").alias("all")).where("all > 1").select("anchor")
+    found = stage(found.join(anchors, "anchor"))
+    distinct = found.groupBy("anchor", "name").agg(F.count("*").alias("weight"), F.min(F.struct("row", "first", "last")).alias("at"))
+    counts = found.groupBy("anchor").agg(F.countDistinct("name").alias("n"))
+    wanted = distinct.join(counts, "anchor").select(
         F.col("at.row").alias("_row"), F.struct("anchor", "name", F.col("at.first").alias("first"), F.col("at.last").alias("last"), "weight", (F.col("n") > HOT).alias("hot")).alias("w"))
     by_row = rows.repartition(parts, "_row")
     cut = (by_row.select("_row", "_text").join(wanted.groupBy("_row").agg(F.collect_list("w").alias("w")), "_row").select("_text", "w")
