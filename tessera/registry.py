@@ -1,4 +1,296 @@
-"""Queries of the engine's own operators, and their SQL."""
+"""Queries of the engine's own operators, and the same results in SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tessera.functions import text as X
+from tessera.operators import catalog, lexical, spans, walk
+from tessera.plans import metrics
+from tessera.sources import project as P
+from tessera.streaming import delta
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _terms(table: str, key: str) -> str:
+    return f"""wc_{table} AS (SELECT {key}, w, count(*) AS c FROM (SELECT {key}, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM {table}) GROUP BY ALL),
+pp_{table} AS (SELECT {key}, c, regexp_extract_all(regexp_replace(w, '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') AS ps FROM wc_{table}),
+tf_{table} AS (SELECT {key}, term, sum(c)::BIGINT AS tf FROM (SELECT {key}, c, unnest(list_concat(list_filter(list_transform(ps, lambda x: lower(x)), lambda x: length(x) > 1),
+ CASE WHEN len(ps) > 1 THEN [lower(array_to_string(ps, ''))] ELSE []::VARCHAR[] END)) AS term FROM pp_{table}) GROUP BY ALL)"""
+
+
+_BM25 = f"""WITH {_terms('documents', 'doc_id')}, {_terms('benchmark', 'item_id')},
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf_documents GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf_documents GROUP BY 1),
+sc AS (SELECT item_id, doc_id, sum(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * (d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * 1e6)::BIGINT)::BIGINT AS score_micro
+ FROM tf_benchmark b JOIN tf_documents d USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score_micro DESC, doc_id)::INT AS rank FROM sc)"""
+
+
+@query(_BM25 + " SELECT item_id, doc_id, score_micro, rank FROM rk WHERE rank <= 5")
+def bm25_topk(spark, d):
+    return lexical.bm25(lexical.postings(P.read(spark, d, "documents"), "doc_id", "text"), P.read(spark, d, "benchmark"), "doc_id", "item_id", "text", 5)
+
+
+@query(f"WITH {_terms('documents', 'doc_id')} SELECT doc_id, term, tf FROM tf_documents")
+def postings_tf(spark, d):
+    return lexical.postings(P.read(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {_terms('documents', 'doc_id')} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM tf_documents GROUP BY 1")
+def idf_table(spark, d):
+    return lexical.postings(P.read(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"WITH e AS (SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part), {_terms('e', 'doc_id')} SELECT doc_id, string_agg(term, ' ' ORDER BY term) AS terms FROM tf_e GROUP BY 1")
+def entity_document_terms(spark, d):
+    e = P.read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    return e.select("doc_id", F.array_join(F.array_sort(F.array_distinct(X.terms(F.col("text")))), " ").alias("terms"))
+
+
+@query("""SELECT doc_id, (coalesce(list_sum(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: (length(w) + 3) // 4)), 0) + length(text) - length(replace(text, chr(10), ''))
+ + len(regexp_extract_all(text, '[^\\p{L}\\p{N}_\\s]')))::BIGINT AS units FROM documents""")
+def units_per_doc(spark, d):
+    return P.read(spark, d, "documents").select("doc_id", X.units(F.col("text")).cast("long").alias("units"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE 'https%' THEN 'python' ELSE 'shell' END AS dialect FROM pages")
+def dialect_of_path(spark, d):
+    secure = F.col("url").startswith("https")
+    path = F.when(secure, F.concat(F.lit("a/"), F.col("page_id").cast("string"), F.lit(".py"))).otherwise("bin/run")
+    return P.read(spark, d, "pages").select("page_id", X.dialect(path, F.when(secure, "").otherwise("#!/usr/bin/env bash")).alias("dialect"))
+
+
+@query(f"WITH {P.SQL} SELECT digest, min(path) AS path, count(*)::BIGINT AS copies FROM files GROUP BY 1")
+def digest_dedupe(spark, d):
+    return P.files(spark, d).groupBy("digest").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
+
+
+@query("SELECT lower(url) AS folded, count(*)::BIGINT AS n, count(DISTINCT url)::BIGINT AS spellings FROM (SELECT url FROM pages UNION ALL SELECT upper(url) FROM pages) GROUP BY 1 HAVING count(DISTINCT url) > 1")
+def case_collisions(spark, d):
+    p = P.read(spark, d, "pages").select("page_id", "url")
+    every = p.select("url").unionByName(p.select(F.upper("url").alias("url")))
+    return every.groupBy(F.lower("url").alias("folded")).agg(F.count("*").alias("n"), F.countDistinct("url").alias("spellings")).where("spellings > 1")
+
+
+_RULES = [(0, "src1%", True), (1, "%/de/%", True), (2, "src1/de/%", False), (3, "src2/en/1%", True)]
+_RULES_SQL = ", ".join(f"({i}, '{p}', {str(x).lower()})" for i, p, x in _RULES)
+
+
+@query(f"WITH {P.SQL}, rules(i, pattern, ignore) AS (VALUES {_RULES_SQL}) SELECT path, coalesce(arg_max(ignore, i), false) AS ignored FROM files LEFT JOIN rules ON path LIKE pattern GROUP BY 1")
+def gitignore_scope(spark, d):
+    """The last rule that matches decides."""
+    out = F.lit(False)
+    for _, pattern, ignore in _RULES:
+        out = F.when(F.col("path").like(pattern), F.lit(ignore)).otherwise(out)
+    return P.files(spark, d).select("path", out.alias("ignored")).distinct()
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM documents) WHERE run <= 50000")
+def running_cap(spark, d):
+    run = F.sum("n_chars").over(W.partitionBy("source").orderBy("doc_id"))
+    return P.read(spark, d, "documents").withColumn("run", run).where("run <= 50000").select("source", "doc_id", "n_chars")
+
+
+@query("SELECT doc_id, len(l)::INT AS lines, list_sum(list_transform(range(1, len(l) + 1), lambda i: (len(array_to_string(l[1:i - 1], chr(10))) + CASE WHEN i > 1 THEN 1 ELSE 0 END)))::BIGINT AS start_sum FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM benchmark_docs)".replace("benchmark_docs", "(SELECT item_id AS doc_id, text FROM benchmark)"))
+def line_offsets(spark, d):
+    s = X.line_starts(F.col("text"))
+    return P.read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.size(s).alias("lines"), F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x).alias("start_sum"))
+
+
+@query("SELECT item_id, (length(substr(text, 1, 40)) - length(replace(substr(text, 1, 40), chr(10), '')) + 1)::INT AS line FROM benchmark")
+def line_of_offset(spark, d):
+    starts = X.line_starts(F.col("text"))
+    return P.read(spark, d, "benchmark").select("item_id", F.size(F.filter(starts, lambda s: s <= F.lit(40))).alias("line"))
+
+
+@query("SELECT url, regexp_matches(url, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\\.[^/.]+$|\\.(test|spec)\\.[^/.]+$') AS test FROM pages")
+def test_role(spark, d):
+    return P.read(spark, d, "pages").select("url", X.is_test_path(F.col("url")).alias("test"))
+
+
+@query("SELECT tail, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.'))) AS tail FROM (SELECT string_split(replace(p_name, ' ', '.'), '.') AS p FROM part)) GROUP BY 1")
+def name_tails(spark, d):
+    return P.read(spark, d, "part").select(F.explode(X.tails(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")))).alias("tail")).groupBy("tail").agg(F.count("*").alias("n"))
+
+
+@query("SELECT suffix, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '/'))) AS suffix FROM (SELECT string_split(url, '/') AS p FROM pages)) GROUP BY 1")
+def suffix_paths(spark, d):
+    return P.read(spark, d, "pages").select(F.explode(X.path_suffixes(F.col("url"))).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {P.SQL} SELECT dir, count(*)::BIGINT AS files FROM (SELECT unnest(list_transform(range(1, len(p)), lambda i: array_to_string(p[1:i], '/'))) AS dir FROM (SELECT string_split(path, '/') AS p FROM files)) GROUP BY 1")
+def ancestors_of_key(spark, d):
+    return P.files(spark, d).select(F.explode(X.ancestors(F.col("path"))).alias("dir")).groupBy("dir").agg(F.count("*").alias("files"))
+
+
+@query(f"WITH {P.SQL} SELECT e.* FROM entities e WHERE key IN (SELECT 'part:' || l_partkey FROM lineitem WHERE l_quantity = 50)")
+def entities_by_key(spark, d):
+    keys = P.read(spark, d, "lineitem").where("l_quantity = 50").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("key"))
+    return catalog.entities_by_key(P.entities(spark, d), keys)
+
+
+@query(f"WITH {P.SQL}, n AS (SELECT * FROM entities WHERE name = '1-URGENT' ORDER BY key LIMIT 21) SELECT key, kind, name, parent, (SELECT count(*) FROM n) > 20 AS truncated FROM n ORDER BY key LIMIT 20")
+def named_limit(spark, d):
+    return catalog.named(P.entities(spark, d), "1-URGENT", 20)
+
+
+_SPANS = "sp AS (SELECT c_nationkey AS path, c_custkey AS key, (c_custkey * 37) % 1000 AS s, (c_custkey * 37) % 1000 + 20 + c_custkey % 400 AS e FROM customer)"
+
+
+def _spans(spark, d):
+    k = F.col("c_custkey")
+    return P.read(spark, d, "customer").select(F.col("c_nationkey").alias("path"), k.alias("key"), (k * 37 % 1000).alias("s"), (k * 37 % 1000 + 20 + k % 400).alias("e"))
+
+
+@query(f"WITH {_SPANS}, pr AS (SELECT s_suppkey AS probe, s_nationkey AS path, (s_suppkey * 53) % 1200 AS st, (s_suppkey * 53) % 1200 + 5 AS en FROM supplier) SELECT probe, key, width FROM (SELECT probe, key, e - s AS width, row_number() OVER (PARTITION BY probe ORDER BY e - s, key) AS r FROM pr JOIN sp USING (path) WHERE s <= st AND e >= en) WHERE r = 1")
+def innermost_span(spark, d):
+    k = F.col("s_suppkey")
+    probes = P.read(spark, d, "supplier").select(k.alias("probe"), F.col("s_nationkey").alias("path"), (k * 53 % 1200).alias("start"), (k * 53 % 1200 + 5).alias("end"))
+    return catalog.innermost(_spans(spark, d), probes)
+
+
+@query(f"WITH {_SPANS}, m AS (SELECT *, max(e) OVER (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT path, min(s) AS s, max(e) AS e, count(*)::BIGINT AS n FROM i GROUP BY path, island")
+def merge_spans(spark, d):
+    return spans.merge(_spans(spark, d), "path")
+
+
+@query(f"WITH {_SPANS}, u AS (SELECT DISTINCT path, s, e FROM sp) SELECT a.path, a.s, a.e, count(b.s)::BIGINT AS depth FROM u a LEFT JOIN u b ON a.path = b.path AND b.s <= a.s AND b.e >= a.e AND (b.s < a.s OR b.e > a.e) GROUP BY ALL")
+def outline_depth(spark, d):
+    return spans.depth(_spans(spark, d).select("path", "s", "e").distinct(), "path")
+
+
+@query("SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)::INT AS ordinal FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)")
+def sibling_ordinals(spark, d):
+    return spans.ordinals(P.read(spark, d, "conversations").select("conv_id", "turn", "role").distinct(), ["conv_id", "role"], ["turn"])
+
+
+_KEYS = "ks AS (SELECT 'part:' || p_partkey AS key FROM part)"
+
+
+def _keys(spark, d):
+    return P.read(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("key"))
+
+
+_ADJ = f"{P.SQL}, {_KEYS}, adj AS (SELECT source AS key, 'out' AS direction, kind, target AS other, label FROM labelled WHERE source IN (FROM ks) UNION ALL SELECT target, 'in', kind, source, label FROM labelled WHERE target IN (FROM ks))"
+
+
+@query(f"WITH {_ADJ} SELECT * FROM adj")
+def adjacency(spark, d):
+    return catalog.adjacency(P.relations(spark, d), _keys(spark, d))
+
+
+@query(f"WITH {_ADJ}, c AS (SELECT key, sum(count(*)) OVER (ORDER BY key) AS run FROM adj GROUP BY 1) SELECT adj.* FROM adj WHERE key IN (SELECT key FROM c WHERE run <= 500)")
+def adjacency_allowance(spark, d):
+    return catalog.within_allowance(catalog.adjacency(P.relations(spark, d), _keys(spark, d)), 500)
+
+
+@query("WITH u AS (SELECT p_partkey AS site, string_split(replace(p_name, ' ', '.'), '.') AS p FROM part), t AS (SELECT site, unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.'))) AS name FROM u) SELECT name, count(DISTINCT site)::BIGINT AS mentions FROM t WHERE name IN (SELECT string_split(p_name, ' ')[-1] FROM part) GROUP BY 1")
+def mentions_count(spark, d):
+    part = P.read(spark, d, "part")
+    rel = part.select(F.col("p_partkey").alias("site"), F.lit("unresolved").alias("resolution"), F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("text"))
+    return catalog.mentions(rel, part.select(F.element_at(F.split("p_name", " "), -1).alias("name")).distinct())
+
+
+@query(f"WITH {P.SQL}, k AS (SELECT 'supplier:' || s_suppkey AS key FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 1) SELECT site, kind, source, target, label FROM labelled WHERE source IN (FROM k) OR target IN (FROM k)")
+def relations_of(spark, d):
+    """All relations of one entity, here the supplier with the largest balance."""
+    top = P.read(spark, d, "supplier").sort(F.desc("s_acctbal"), "s_suppkey").limit(1).select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("key"))
+    r = P.relations(spark, d)
+    return r.join(F.broadcast(top), (F.col("source") == F.col("key")) | (F.col("target") == F.col("key"))).select("site", "kind", "source", "target", catalog.label().alias("label"))
+
+
+@query(f"WITH {P.SQL}, cr AS (SELECT 'contains' AS kind, parent AS source, key AS target FROM entities WHERE key NOT IN (SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_acctbal < 0)), en AS (SELECT key FROM entities UNION ALL SELECT 'repo') SELECT 'parents' AS rule, key FROM en WHERE key <> 'repo' AND (SELECT count(*) FROM cr WHERE target = key) <> 1 UNION ALL SELECT 'repeated key', key FROM en GROUP BY key HAVING count(*) > 1 UNION ALL SELECT 'missing endpoint', k FROM (SELECT source AS k FROM cr UNION SELECT target FROM cr) WHERE k NOT IN (SELECT key FROM en)")
+def validate_graph(spark, d):
+    e = P.entities(spark, d)
+    poor = P.read(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("key"))
+    contains = e.join(poor, "key", "left_anti").select(F.lit("contains").alias("kind"), F.col("parent").alias("source"), F.col("key").alias("target"))
+    return catalog.violations(e.select("key").unionByName(spark.range(1).select(F.lit("repo").alias("key"))), contains)
+
+
+@query(f"WITH {P.SQL} SELECT kind, count(*)::BIGINT AS n FROM entities GROUP BY 1")
+def table_counts(spark, d):
+    return P.entities(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {P.SQL} SELECT kind, count(*) FILTER (label = 'proven')::BIGINT AS proven, count(*) FILTER (label = 'heuristic')::BIGINT AS heuristic, count(*) FILTER (label = 'ambiguous')::BIGINT AS ambiguous, count(*) FILTER (label = 'unresolved')::BIGINT AS unresolved FROM labelled GROUP BY 1")
+def link_pivot(spark, d):
+    return catalog.link_counts(P.relations(spark, d))
+
+
+@query(f"WITH {P.SQL} SELECT r.site, r.label, r.kind, e.key AS other, e.name FROM labelled r JOIN entities e ON e.key = r.source WHERE r.target IN (SELECT 'part:' || p_partkey FROM part)")
+def refs_labelled(spark, d):
+    into = P.relations(spark, d).join(_keys(spark, d).select(F.col("key").alias("target")), "target", "left_semi")
+    return into.join(P.entities(spark, d).select(F.col("key").alias("source"), "name"), "source").select("site", catalog.label().alias("label"), "kind", F.col("source").alias("other"), "name")
+
+
+_EDGE = f"{P.SQL}, ed AS (SELECT DISTINCT target AS key, source AS other FROM relations), pe AS (SELECT DISTINCT target AS key, source AS other FROM labelled WHERE label = 'proven')"
+_WALK = "l1 AS (SELECT DISTINCT r.key AS root, e.other AS key FROM rt r JOIN {e} e ON e.key = r.key WHERE e.other <> r.key), l2 AS (SELECT DISTINCT l.root, e.other AS key FROM l1 l JOIN {e} e ON e.key = l.key WHERE e.other <> l.root)"
+
+
+@query(f"WITH {_EDGE}, rt AS (SELECT 'supplier:' || s_suppkey AS key FROM supplier), {_WALK.format(e='ed')}, w AS (SELECT root, key, min(d)::INT AS depth FROM (SELECT *, 1 AS d FROM l1 UNION ALL SELECT *, 2 FROM l2) GROUP BY ALL), p1 AS (SELECT DISTINCT r.key AS root, e.other AS key FROM rt r JOIN pe e ON e.key = r.key), p2 AS (SELECT DISTINCT l.root, e.other AS key FROM p1 l JOIN pe e ON e.key = l.key), pw AS (SELECT root, key, min(d)::INT AS proven_depth FROM (SELECT *, 1 AS d FROM p1 UNION ALL SELECT *, 2 FROM p2) GROUP BY ALL) SELECT root, depth, proven_depth, count(*)::BIGINT AS n FROM w LEFT JOIN pw USING (root, key) GROUP BY ALL")
+def impact_upstream(spark, d):
+    roots = P.read(spark, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("key"))
+    return walk.impact(walk.steps(P.relations(spark, d)), roots, 2).groupBy("root", "depth", "proven_depth").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {P.SQL}, ed AS (SELECT DISTINCT source AS key, target AS other FROM relations), rt AS (SELECT 'orders:' || o_orderkey AS key FROM orders), {_WALK.format(e='ed')} SELECT root, depth, count(*)::BIGINT AS n FROM (SELECT root, key, min(d)::INT AS depth FROM (SELECT *, 1 AS d FROM l1 UNION ALL SELECT *, 2 FROM l2) GROUP BY ALL) GROUP BY ALL")
+def impact_downstream(spark, d):
+    roots = P.read(spark, d, "orders").select(F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("key"))
+    return walk.layers(walk.steps(P.relations(spark, d), upstream=False), roots, 2).groupBy("root", "depth").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_EDGE}, two AS (SELECT a.key AS root, b.other AS k FROM ed a JOIN ed b ON b.key = a.other), r AS (SELECT root, k, min(d) AS d FROM (SELECT key AS root, other AS k, 1 AS d FROM ed UNION ALL SELECT root, k, 2 FROM two WHERE root <> k) GROUP BY ALL) SELECT root, count(*)::BIGINT AS dependents, sum(CASE WHEN d = 1 THEN 1 ELSE 0 END)::BIGINT AS direct FROM r GROUP BY 1")
+def blast_all(spark, d):
+    return walk.blast(walk.steps(P.relations(spark, d)))
+
+
+@query("WITH t AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), e AS (SELECT DISTINCT a AS key, b AS other FROM t WHERE b IS NOT NULL AND a <> b), r AS (SELECT key AS root, other AS k FROM e UNION SELECT a.key, b.other FROM e a JOIN e b ON a.other = b.key), s AS (SELECT DISTINCT root, k FROM r WHERE root <> k) SELECT x.root, x.k AS key FROM s x JOIN s y ON x.root = y.k AND x.k = y.root")
+def scc_cyclic(spark, d):
+    follow = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = P.read(spark, d, "events").select(F.col("event_type").alias("key"), follow.alias("other")).where("other is not null and key <> other").distinct()
+    return walk.cyclic(e, 2)
+
+
+@query(f"WITH {P.SQL}, a AS (SELECT key AS root, parent FROM entities), c AS (SELECT e.key FROM entities e WHERE parent IN (SELECT key FROM entities WHERE parent = 'region:1')) SELECT key, 1 AS depth FROM entities WHERE parent = 'region:1' UNION ALL SELECT key, 2 FROM c UNION ALL SELECT key, 3 FROM entities WHERE parent IN (SELECT key FROM c)")
+def contains_descendants(spark, d):
+    e = P.entities(spark, d).select(F.col("parent").alias("key"), F.col("key").alias("other"))
+    return walk.layers(e, spark.range(1).select(F.lit("region:1").alias("key")), 3).select("key", "depth")
+
+
+@query(f"WITH {P.SQL}, n AS (SELECT path, sha256(replace(text, '!!', '!')) AS digest FROM files WHERE path IN (SELECT min(path) FROM files GROUP BY digest)) SELECT path, CASE WHEN n.digest IS NULL THEN 'deleted' WHEN o.digest <> n.digest THEN 'modified' ELSE 'reused' END AS change FROM files o LEFT JOIN n USING (path)")
+def snapshot_diff(spark, d):
+    """From all files to a snapshot without copies and with tamed exclamations."""
+    f = P.files(spark, d)
+    new = f.join(f.groupBy("digest").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
+    return delta.diff(f.select("path", "digest"), new.select("path", F.sha2(F.replace("text", F.lit("!!"), F.lit("!")), 256).alias("digest")))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_event_per_key(spark, d):
+    return delta.latest(P.read(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"]).join(
+        P.read(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id"), "user_id").select("user_id", "event_id", "event_type")
+
+
+@query(_BM25 + ", g AS (SELECT item_id, rank FROM rk JOIN labels USING (doc_id) WHERE rank <= 20 AND quality = 1) SELECT item_id, count(*)::BIGINT AS gold, sum((rank <= 1)::INT)::BIGINT AS hits_1, sum((rank <= 5)::INT)::BIGINT AS hits_5, sum((rank <= 20)::INT)::BIGINT AS hits_20, min(rank) AS first_rank FROM g GROUP BY 1")
+def retrieval_quality(spark, d):
+    """Ranks of the good documents among the first 20 of each benchmark query."""
+    ranked = lexical.bm25(lexical.postings(P.read(spark, d, "documents"), "doc_id", "text"), P.read(spark, d, "benchmark"), "doc_id", "item_id", "text", 20)
+    gold = ranked.join(P.read(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id").select("item_id", "doc_id")
+    return metrics.per_query(ranked, gold, "item_id", "doc_id")
