@@ -32,7 +32,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of ``REPEAT_BYTES`` that stand elsewhere too; cut characters are dropped."""
-    kept = suffix_dedup.remove(docs, REPEAT_BYTES)
+    kept = suffix_dedup.remove(docs, REPEAT_BYTES, scanned=True)  # stages are read from files
     text = F.when(F.col("n_removed") == 0, F.decode("kept", "utf-8")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(text)
     out = kept.withColumn("text", text)

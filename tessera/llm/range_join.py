@@ -37,7 +37,7 @@ _SLACK = 1e-6
 
 
 def _clean(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """id, place (a number for each row) and unit: binary doubles; only vectors that can link."""
+    """id, place (a number for each row) and unit: binary doubles, null for vectors that cannot link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,11 +50,10 @@ def _clean(df: DataFrame, id_col: str, vector: str) -> DataFrame:
                     v = v / np.abs(v).max()
                     n = float(np.sqrt(v @ v))
                 units.append((v / n).tobytes() if n else None)
-            keep = pa.array([u is not None for u in units])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(units, pa.binary())], ["id", "place", "unit"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(units, pa.binary())], ["id", "place", "unit"])
 
     return (df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("place"), F.col(vector).cast("array<double>").alias("v"))
-            .where("id is not null").mapInArrow(run, "id long, place long, unit binary"))
+            .mapInArrow(run, "id long, place long, unit binary"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -178,7 +177,8 @@ def _join(c: float):
 def link(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row for each row of ``df``: id, n_links long, component_id long, kept boolean."""
     spark = df.sparkSession
-    clean = stage(_clean(df, id_col, vector))
+    rows = stage(_clean(df, id_col, vector))
+    clean = rows.where("id is not null and unit is not null")
     n = clean.count()
     wanted = min(PIVOTS[1], max(PIVOTS[0], n // PER_PIVOT))
     pivots: dict[int, list[bytes]] = {}
@@ -194,9 +194,8 @@ def link(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: st
                   .mapInArrow(_join(cosine), "id long, place long, n long, far long, star boolean"))
     counts = found.where("not star").groupBy("id", "place").agg(F.sum("n").alias("n"))
     groups = components(found.where("star").select(F.col("id").alias("a"), F.col("far").alias("b")))
-    rows = df.select(F.col(id_col).alias("v"), F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("place"))
-    return (rows.join(counts, ["id", "place"], "left").join(groups, "id", "left")
-            .select(F.col("v").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    return (rows.select("id", "place").join(counts, ["id", "place"], "left").join(groups, "id", "left")
+            .select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))
 
 

@@ -266,16 +266,18 @@ def _apply(length: int, names: list[str], at: int, with_kept: bool):
     return run
 
 
-def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[str] | None = None, with_kept: bool = True) -> DataFrame:
+def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[str] | None = None, with_kept: bool = True, scanned: bool = False) -> DataFrame:
     """``keep`` (default: all other columns) with n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept binary
-    (the remaining bytes)."""
+    (the remaining bytes).  ``scanned`` says that ``df`` is a plain scan of files, which numbers its rows alike each
+    time; any other input is staged first."""
     if length < 2:
         raise ValueError("length: at least 2")
     gram = gram_of(length)
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text, *made)]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The place of a row in the scan names it; the scan of a table gives the same places each time.
+    if not scanned:
+        df = stage(df.select(*keep, text))
     rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).cast("binary").alias("_text"))
     raw = rows.select("_row", "_text")
     found = stage(raw.mapInArrow(_map_runs(length, gram), "row long, anchor long, name long, first int, last int, times int"))
@@ -309,4 +311,4 @@ def _anchors(run: bytes, length: int) -> np.ndarray:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"], with_kept=False)
+    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"], with_kept=False, scanned=True)
