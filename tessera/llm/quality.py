@@ -166,6 +166,16 @@ def score(documents: DataFrame, model, text: str = "text", keep: list[str] | Non
     return with_stats.select(*keep, compiled(model, [f"_s_{k}" for k in stats]).alias("score"))
 
 
+def accepted(documents: DataFrame, model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``documents`` that score at least ``threshold``.
+
+    A filter on the score would be pushed below the statistics, and each rule would then compute its own again;
+    a row number that the filter reads keeps it above them."""
+    stats = statistics(text)
+    with_stats = documents.select(*documents.columns, *[c.alias(f"_s_{k}") for k, c in stats.items()], F.monotonically_increasing_id().alias("_s_row"))
+    return with_stats.where((compiled(model, [f"_s_{k}" for k in stats]) >= threshold) & (F.col("_s_row") >= 0)).select(*documents.columns)
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
