@@ -33,8 +33,8 @@ from tessera.llm import lanes
 from tessera.llm.shared import components, forest, stage
 
 #: Keys that a map task joins at once, texts of a block, columns of one counting fragment, words of the parity sketch.
-KEYS = 1 << 21
-BLOCK = 768
+KEYS = 1 << 19
+BLOCK = 512
 COLUMNS = 4096
 SKETCH = 16
 _U = np.uint64

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step works on (a single longer text is its own step).
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(2**40, 2**62)) * 2 + 1

@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Parts of texts, and pairs of tokens, that a worker remembers.
-REMEMBERED = 400_000
-PAIRS = 600_000
+REMEMBERED = 300_000
+PAIRS = 400_000
 
 
 class PrefixTable:
