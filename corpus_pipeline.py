@@ -59,7 +59,7 @@ STAGES = [
     ("benchmark decontamination", decontamination_stage),
     ("sentencepiece encoding", token_stage),
 ]
-#: Learnt weights and token ids have no SQL form; tests hold the result against a brute-force version.
+#: Learnt weights and token ids have no SQL form; the operators are tested against brute force, the stages for their shape.
 ORACLE_SQL = None
 
 
