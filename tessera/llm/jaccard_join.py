@@ -10,7 +10,8 @@ summed for each pair; pairs that reach t become links.
 Scale: texts that agree are first joined inside each map task, so a key with very many texts is shuffled
 once per task; texts with equal sets are one node; groups larger than ``BLOCK`` are cut into blocks whose pairs
 are separate tasks; tasks give stars of linked texts, never all pairs; components are found by
-distributed star rounds.  A parity sketch (a lower bound on the difference) excludes pairs before counting.
+distributed star rounds.  Before texts move, parity sketches (lower bounds on the difference) of ``SKETCH`` words
+each exclude pairs of a candidate group and split it; texts are only sent within what is left.
 
 Defined results: null text or text without words: empty set, linked with nothing; fewer words than the
 n-gram, but not none: one n-gram of all words; equal sets are linked; rows that share an id are one node; a row with a null id
@@ -35,6 +36,8 @@ from tessera.llm.shared import components, forest, stage
 #: Keys that a map task joins at once, texts of a block, columns of one counting fragment, words of the parity sketch.
 KEYS = 1 << 19
 BLOCK = 512
+#: Sketches of a block, and rows compared at once.
+SCREEN, STRIP = 4096, 128
 COLUMNS = 4096
 SKETCH = 16
 _U = np.uint64
@@ -83,7 +86,7 @@ def keys(s: np.ndarray, classes: Classes) -> np.ndarray:
 
 
 def _sets(k: int):
-    """id, size and a 128-bit name of each text's set."""
+    """id, size, a 128-bit name and the sketch of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,13 +94,14 @@ def _sets(k: int):
                 sets = lanes.shingle_sets(data, offs, k)
                 f1 = np.array([np.bitwise_xor.reduce(lanes.mix(s)) if len(s) else 0 for s in sets], _U)
                 f2 = np.array([lanes.mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) if len(s) else 0 for s in sets], _U)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], ["id", "size", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                                                  pa.array([x.tobytes() for x in _sketch(sets)], pa.binary())], ["id", "size", "f1", "f2", "sketch"])
 
     return run
 
 
 def _map_keys(k: int, t: Fraction):
-    """(key, id, null) for the smallest id of each key in a task's run, (key, id, smaller id) for texts that agree there."""
+    """(key, id) for the smallest id of each key in a task's run; texts that agree there get a key of their own for the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(t)
@@ -117,9 +121,7 @@ def _map_keys(k: int, t: Fraction):
             else:
                 a = b = np.zeros(0, np.int64)
             own = lanes.mix(a.view(_U) * _U(0x9E3779B97F4A7C15) ^ lanes.mix(b.view(_U)))
-            n = len(lead)
-            other = pa.array(np.concatenate([np.zeros(n, np.int64), b]), mask=np.concatenate([np.ones(n, bool), np.zeros(len(b), bool)]))
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], own]).view(np.int64)), pa.array(np.concatenate([lead, a])), other], ["k", "d", "e"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], own, own]).view(np.int64)), pa.array(np.concatenate([lead, a, b]))], ["k", "d"])
             for i in range(0, out.num_rows, 100_000):
                 yield out.slice(i, 100_000)
 
@@ -187,6 +189,77 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], t: Fraction) -> tuple[np.n
     return ra[i], rb[j]
 
 
+def _near(na: np.ndarray, sa: np.ndarray, nb: np.ndarray, sb: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the pairs that neither sizes nor sketches exclude; both sides ascend by size."""
+    up, down = t.numerator, t.denominator
+    for i in range(0, len(na), STRIP):
+        x, y = na[i : i + STRIP], sa[i : i + STRIP]
+        low = int(np.searchsorted(nb, -(-x[0] * up // down), "left"))
+        high = int(np.searchsorted(nb, x[-1] * down // up, "right"))
+        for j in range(low, high, SCREEN):
+            end = min(j + SCREEN, high)
+            differ = np.zeros((len(x), end - j), np.int32)
+            for k in range(SKETCH):
+                differ += np.bitwise_count(y[:, k][:, None] ^ sb[j:end, k][None, :])
+            a, b = np.nonzero(differ.astype(np.int64) * (up + down) <= (down - up) * (x[:, None] + nb[None, j:end]))
+            yield a + i, b + j
+
+
+def _screen(t: Fraction):
+    """Stars of ids that may be similar in each (group, block pair); rows come sorted by these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, {}
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not sides.get(False):
+                return
+            side = {}
+            for r, parts in sides.items():
+                ids, sizes, sketch = (np.concatenate([p[c] for p in parts]) for c in range(3))
+                order = np.argsort(sizes, kind="stable")
+                side[r] = ids[order], sizes[order], sketch[order]
+            if key[1] != key[2] and True not in side:
+                return
+            (ia, na, sa), (ib, nb, sb) = side[False], side.get(True, side[False])
+            node, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for i, j in _near(na, sa, nb, sb, t):
+                x, y = ia[i], ib[j]
+                far = x != y
+                if far.any():
+                    node, root = forest(np.concatenate([node, x[far]]), np.concatenate([root, y[far]]))
+                    node, root = node[node != root], root[node != root]
+            if len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
+
+        for b in batches:
+            c, p, q, right, ids, sizes = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            sketch = np.frombuffer(b"".join(b.column(6).to_pylist()), _U).reshape(-1, SKETCH)
+            cuts = (np.flatnonzero((np.diff(c) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0) | (np.diff(right.astype(np.int8)) != 0)) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(c)], strict=True):
+                if i == j:
+                    continue
+                now = int(c[i]), int(p[i]), int(q[i])
+                if now != key:
+                    yield from close()
+                    key, sides = now, {}
+                sides.setdefault(bool(right[i]), []).append((ids[i:j].astype(np.int64), sizes[i:j].astype(np.int64), sketch[i:j]))
+        yield from close()
+
+    return run
+
+
+def _tasks(groups: DataFrame, block: int) -> DataFrame:
+    """id, component and x (p, q, right) for each pair of blocks of its group that an id belongs to."""
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    place = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A block meets itself and every other block of its group once; in a pair the first is the left side.
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least("block", o).alias("p"), F.greatest("block", o).alias("q"), (F.col("block") > o).alias("right")))
+    return place.select("id", "component", pairs.alias("pairs"))
+
+
 def _verify(k: int, t: Fraction):
     """Stars of linked ids in each (group, block pair); rows come sorted by these."""
 
@@ -232,29 +305,25 @@ def join(df: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     known = rows.where("id is not null")
-    sets = stage(rows.mapInArrow(_sets(k), "id long, size long, f1 long, f2 long"))
+    sets = stage(rows.mapInArrow(_sets(k), "id long, size long, f1 long, f2 long, sketch binary"))
     names = ["f1", "f2", "size"]
     lead = sets.where("id is not null and size > 0").groupBy(*names).agg(F.min("id").alias("rep"))
     member = sets.where("id is not null and size > 0").join(lead, names).groupBy("id").agg(F.min("rep").alias("rep"))
-    sent = known.mapInArrow(_map_keys(k, threshold), "k long, d long, e long")
+    sent = known.mapInArrow(_map_keys(k, threshold), "k long, d long")
     low = F.min("d").over(W.partitionBy("k"))
-    agree = (sent.withColumn("low", low).where("e is not null or d <> low")
-             .select(F.col("d").alias("a"), F.coalesce("e", "low").alias("b")).distinct())
+    agree = sent.withColumn("low", low).where("d <> low").select(F.col("d").alias("a"), F.col("low").alias("b")).distinct()
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     agree = stage(agree)
     reps = stage(member)
     to = lambda e, c: e.join(reps.select(F.col("id").alias(c), F.col("rep").alias(f"r{c}")), c)
     among = to(to(agree, "a"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
-    groups = stage(components(among))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    place = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A block meets itself and every other block of its group once; in a pair the first is the left side.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
-        F.least("block", o).alias("p"), F.greatest("block", o).alias("q"), (F.col("block") > o).alias("right")))
-    tasks = (known.join(place, "id").select("component", "id", "text", F.explode(pairs).alias("x"))
+    order = ["component", "p", "q", "right", "id"]
+    sketches = sets.select("id", "size", "sketch").join(_tasks(stage(components(among)), SCREEN), "id").select(
+        "component", F.explode("pairs").alias("x"), "id", "size", "sketch").select("component", "x.p", "x.q", "x.right", "id", "size", "sketch")
+    maybe = sketches.repartition("component", "p", "q").sortWithinPartitions(*order).mapInArrow(_screen(threshold), "a long, b long")
+    tasks = (known.join(_tasks(stage(components(maybe)), BLOCK), "id").select("component", "id", "text", F.explode("pairs").alias("x"))
              .select("component", "x.p", "x.q", "x.right", "id", "text"))
-    links = (tasks.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "right", "id")
+    links = (tasks.repartition("component", "p", "q").sortWithinPartitions(*order)
              .mapInArrow(_verify(k, threshold), "a long, b long"))
     linked = components(stage(links).unionByName(same))
     return (sets.join(linked, "id", "left")
