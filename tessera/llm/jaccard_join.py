@@ -36,8 +36,8 @@ from tessera.llm.shared import components, forest, stage
 #: Keys that a map task joins at once, texts of a block, columns of one counting fragment, words of the parity sketch.
 KEYS = 1 << 19
 BLOCK = 512
-#: Sketches of a block, and rows compared at once.
-SCREEN, STRIP = 4096, 128
+#: Sketches of a block, rows and columns compared at once, and words of the longest sketch.
+SCREEN, STRIP, COLS, WIDEST = 16384, 128, 4096, 512
 COLUMNS = 4096
 SKETCH = 16
 _U = np.uint64
@@ -95,7 +95,7 @@ def _sets(k: int):
                 f1 = np.array([np.bitwise_xor.reduce(lanes.mix(s)) if len(s) else 0 for s in sets], _U)
                 f2 = np.array([lanes.mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) if len(s) else 0 for s in sets], _U)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
-                                                  pa.array([x.tobytes() for x in _sketch(sets)], pa.binary())], ["id", "size", "f1", "f2", "sketch"])
+                                                  pa.array([_wide_sketch(x) for x in sets], pa.binary())], ["id", "size", "f1", "f2", "sketch"])
 
     return run
 
@@ -143,6 +143,22 @@ def _map_keys(k: int, t: Fraction):
     return run
 
 
+def _wide_sketch(s: np.ndarray) -> bytes:
+    """A sketch with about two bits for each n-gram, a power of two of words; folding halves it (see ``_fold``)."""
+    width = min(WIDEST, max(SKETCH, 1 << (len(s) // 32).bit_length()))
+    h = lanes.mix(s ^ _U(0x2545F4914F6CDD1D))
+    bits = np.bincount((h & _U(64 * width - 1)).astype(np.int64), minlength=64 * width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of fewer words from wider ones."""
+    while sketch.shape[1] > width:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
 def _sketch(sets: list[np.ndarray]) -> np.ndarray:
     """Parities: two sets differ in at least as many n-grams as their sketches in bits."""
     out = np.zeros((len(sets), SKETCH), _U)
@@ -196,10 +212,10 @@ def _near(na: np.ndarray, sa: np.ndarray, nb: np.ndarray, sb: np.ndarray, t: Fra
         x, y = na[i : i + STRIP], sa[i : i + STRIP]
         low = int(np.searchsorted(nb, -(-x[0] * up // down), "left"))
         high = int(np.searchsorted(nb, x[-1] * down // up, "right"))
-        for j in range(low, high, SCREEN):
-            end = min(j + SCREEN, high)
+        for j in range(low, high, COLS):
+            end = min(j + COLS, high)
             differ = np.zeros((len(x), end - j), np.int32)
-            for k in range(SKETCH):
+            for k in range(y.shape[1]):
                 differ += np.bitwise_count(y[:, k][:, None] ^ sb[j:end, k][None, :])
             a, b = np.nonzero(differ.astype(np.int64) * (up + down) <= (down - up) * (x[:, None] + nb[None, j:end]))
             yield a + i, b + j
@@ -214,27 +230,32 @@ def _screen(t: Fraction):
         def close() -> Iterator[pa.RecordBatch]:
             if not sides.get(False):
                 return
-            side = {}
-            for r, parts in sides.items():
-                ids, sizes, sketch = (np.concatenate([p[c] for p in parts]) for c in range(3))
-                order = np.argsort(sizes, kind="stable")
-                side[r] = ids[order], sizes[order], sketch[order]
-            if key[1] != key[2] and True not in side:
+            if key[1] != key[2] and True not in sides:
                 return
-            (ia, na, sa), (ib, nb, sb) = side[False], side.get(True, side[False])
+            side = {}
+            for r, widths in sides.items():
+                side[r] = {}
+                for w, parts in widths.items():
+                    ids, sizes, sketch = (np.concatenate([p[c] for p in parts]) for c in range(3))
+                    order = np.argsort(sizes, kind="stable")
+                    side[r][w] = ids[order], sizes[order], sketch[order]
             node, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for i, j in _near(na, sa, nb, sb, t):
-                x, y = ia[i], ib[j]
-                far = x != y
-                if far.any():
-                    node, root = forest(np.concatenate([node, x[far]]), np.concatenate([root, y[far]]))
-                    node, root = node[node != root], root[node != root]
+            for wa, (ia, na, sa) in side[False].items():
+                for wb, (ib, nb, sb) in side.get(True, side[False]).items():
+                    w = min(wa, wb)
+                    for i, j in _near(na, _fold(sa, w), nb, _fold(sb, w), t):
+                        x, y = ia[i], ib[j]
+                        far = x != y
+                        if far.any():
+                            node, root = forest(np.concatenate([node, x[far]]), np.concatenate([root, y[far]]))
+                            node, root = node[node != root], root[node != root]
             if len(node):
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
         for b in batches:
             c, p, q, right, ids, sizes = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            sketch = np.frombuffer(b"".join(b.column(6).to_pylist()), _U).reshape(-1, SKETCH)
+            sketch = b.column(6).to_pylist()
+            width = np.array([len(x) // 8 for x in sketch])
             cuts = (np.flatnonzero((np.diff(c) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0) | (np.diff(right.astype(np.int8)) != 0)) + 1).tolist()
             for i, j in zip([0, *cuts], [*cuts, len(c)], strict=True):
                 if i == j:
@@ -243,7 +264,10 @@ def _screen(t: Fraction):
                 if now != key:
                     yield from close()
                     key, sides = now, {}
-                sides.setdefault(bool(right[i]), []).append((ids[i:j].astype(np.int64), sizes[i:j].astype(np.int64), sketch[i:j]))
+                for w in np.unique(width[i:j]).tolist():
+                    of = np.flatnonzero(width[i:j] == w) + i
+                    bits = np.frombuffer(b"".join([sketch[x] for x in of.tolist()]), _U).reshape(-1, w)
+                    sides.setdefault(bool(right[i]), {}).setdefault(w, []).append((ids[of].astype(np.int64), sizes[of].astype(np.int64), bits))
         yield from close()
 
     return run
