@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, jaccard_join, licenses, piece_bpe, quality, range_join, rollups, shards, suffix_dedup, warc
+from tessera.llm import decontaminate, jaccard_join, licenses, oracles, piece_bpe, quality, range_join, rollups, shards, suffix_dedup, warc
 
 QUERIES = {
     "op1_embedding_range_join": range_join.op1,
@@ -18,4 +18,4 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard_join.op10,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
