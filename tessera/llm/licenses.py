@@ -49,7 +49,7 @@ SCHEMA = ("n_words long, base array<struct<label:string,word:long>>, "
 class Notices:
     def __init__(self, notices=NOTICES, base=BASE) -> None:
         self.notices, self.base = notices, [(f" {p} ", label) for p, label in base.items()]
-        self.pattern = [regex.compile(rf"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}") for _, text, k in notices]
+        self.pattern = [regex.compile(rf"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}") for _, text, k in notices]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(notices):
             for j in range(k + 1):

@@ -82,6 +82,8 @@ def test_licenses(docs, empty):
     assert got[12].base[0].label == "mit" and got[12].base[0].word == 3 and got[12].spans[0].label == "mit" and got[12].spans[0].errors == 0
     n, base, spans = licenses.Notices().find(b"Licenced under teh Apache License, Version 2.0 and MIT License mit license")
     assert [(b["label"], b["word"]) for b in base] == [("apache", 3), ("mit", 9), ("mit", 11)] and ("apache-2.0", 3) in [(s["label"], s["errors"]) for s in spans]
+    _, _, spans = licenses.Notices().find(b"released under teh MIT license and then x released under the MIT license")
+    assert [(s["first_word"], s["errors"]) for s in spans if s["label"] == "mit"] == [(0, 2), (8, 0)]
     assert licenses.scan(empty).count() == 0
 
 
