@@ -101,8 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(
-            F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
-            F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
-        )).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
+        low = low.where("a <> m")
+        small = low.select("a", F.col("m").alias("b")).unionByName(
+            large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         e = stage(small)
