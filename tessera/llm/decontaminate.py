@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import lanes
+from tessera.llm.shared import tidy
 
 WINDOW = 10
 #: Benchmark text searched for in one pass.
@@ -141,7 +142,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: s
             T.StructField("runs", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     schema = T.StructType(fields + more)
     for number, items in enumerate(chunks(benchmark, item, item_text, limit)):
-        out = out.mapInArrow(_pass(Windows(items, window), len(keep), number > 0, schema.names), schema)
+        out = out.mapInArrow(tidy(_pass(Windows(items, window), len(keep), number > 0, schema.names)), schema)
     return out
 
 

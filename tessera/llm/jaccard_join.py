@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.llm import lanes
-from tessera.llm.shared import components, forest, stage
+from tessera.llm.shared import components, forest, stage, tidy
 
 #: Keys that a map task joins at once, texts of a block, columns of one counting fragment, words of the parity sketch.
 KEYS = 1 << 19
@@ -329,11 +329,11 @@ def join(df: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     known = rows.where("id is not null")
-    sets = stage(rows.mapInArrow(_sets(k), "id long, size long, f1 long, f2 long, sketch binary"))
+    sets = stage(rows.mapInArrow(tidy(_sets(k)), "id long, size long, f1 long, f2 long, sketch binary"))
     names = ["f1", "f2", "size"]
     lead = sets.where("id is not null and size > 0").groupBy(*names).agg(F.min("id").alias("rep"))
     member = sets.where("id is not null and size > 0").join(lead, names).groupBy("id").agg(F.min("rep").alias("rep"))
-    sent = known.mapInArrow(_map_keys(k, threshold), "k long, d long")
+    sent = known.mapInArrow(tidy(_map_keys(k, threshold)), "k long, d long")
     low = F.min("d").over(W.partitionBy("k"))
     agree = sent.withColumn("low", low).where("d <> low").select(F.col("d").alias("a"), F.col("low").alias("b")).distinct()
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -344,11 +344,11 @@ def join(df: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     order = ["component", "p", "q", "right", "id"]
     sketches = sets.select("id", "size", "sketch").join(_tasks(stage(components(among)), SCREEN), "id").select(
         "component", F.explode("pairs").alias("x"), "id", "size", "sketch").select("component", "x.p", "x.q", "x.right", "id", "size", "sketch")
-    maybe = sketches.repartition("component", "p", "q").sortWithinPartitions(*order).mapInArrow(_screen(threshold), "a long, b long")
+    maybe = sketches.repartition("component", "p", "q").sortWithinPartitions(*order).mapInArrow(tidy(_screen(threshold)), "a long, b long")
     tasks = (known.join(_tasks(stage(components(maybe)), BLOCK), "id").select("component", "id", "text", F.explode("pairs").alias("x"))
              .select("component", "x.p", "x.q", "x.right", "id", "text"))
     links = (tasks.repartition("component", "p", "q").sortWithinPartitions(*order)
-             .mapInArrow(_verify(k, threshold), "a long, b long"))
+             .mapInArrow(tidy(_verify(k, threshold)), "a long, b long"))
     linked = components(stage(links).unionByName(same))
     return (sets.join(linked, "id", "left")
             .select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))

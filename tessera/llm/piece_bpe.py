@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.shared import HELD, tidy
+
 MARK = "▁"
 #: Parts of texts, and pairs of tokens, that a worker remembers.
 REMEMBERED = 300_000
@@ -231,6 +233,7 @@ class _Memory(dict):
 
 
 _tables: dict[str, PrefixTable] = {}
+HELD["pieces"] = _tables.clear
 
 
 def table(model_path: str) -> PrefixTable:
@@ -258,7 +261,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
                     + [pa.array([len(x) // 4 for x, _ in rows], pa.int64()), pa.array([x for x, _ in rows], pa.binary()), pa.array([y.decode("utf-8", "replace") for _, y in rows], pa.string())],
                     schema.names)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, text).mapInArrow(tidy(run, "pieces"), schema)
 
 
 def decode(df: DataFrame, model_path: str, packed: str = "packed") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, forest, stage
+from tessera.llm.shared import components, forest, stage, tidy
 
 #: Vectors for each pivot, bounds of the number of pivots, members of a block and visitors of a run.
 PER_PIVOT, PIVOTS = 4096, (8, 1024)
@@ -53,7 +53,7 @@ def _clean(df: DataFrame, id_col: str, vector: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(units, pa.binary())], ["id", "place", "unit"])
 
     return (df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("place"), F.col(vector).cast("array<double>").alias("v"))
-            .mapInArrow(run, "id long, place long, unit binary"))
+            .mapInArrow(tidy(run), "id long, place long, unit binary"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -185,13 +185,13 @@ def link(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: st
     for r in clean.sort(F.xxhash64("place", F.lit(5))).limit(wanted).select("unit").collect():
         pivots.setdefault(len(r.unit) // 8, []).append(bytes(r.unit))
     piv = {d: np.unique(np.stack([np.frombuffer(x, float) for x in v]), axis=0) for d, v in pivots.items()}
-    homed = clean.mapInArrow(_homes(piv), "id long, place long, unit binary, dim int, home int, near double")
+    homed = clean.mapInArrow(tidy(_homes(piv)), "id long, place long, unit binary, dim int, home int, near double")
     r = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
     cells = {(x.dim, x.home): (x.n, x.low, x.high) for x in homed.groupBy("dim", "home").agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high")).collect()}
-    sent = homed.mapInArrow(_visits(piv, cells, r), "dim int, task long, member boolean, id long, place long, unit binary")
+    sent = homed.mapInArrow(tidy(_visits(piv, cells, r)), "dim int, task long, member boolean, id long, place long, unit binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     found = stage(sent.repartition(parts, "dim", "task").sortWithinPartitions("dim", "task", F.desc("member"))
-                  .mapInArrow(_join(cosine), "id long, place long, n long, far long, star boolean"))
+                  .mapInArrow(tidy(_join(cosine)), "id long, place long, n long, far long, star boolean"))
     counts = found.where("not star").groupBy("id", "place").agg(F.sum("n").alias("n"))
     groups = components(found.where("star").select(F.col("id").alias("a"), F.col("far").alias("b")))
     return (rows.select("id", "place").join(counts, ["id", "place"], "left").join(groups, "id", "left")

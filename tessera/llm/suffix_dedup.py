@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import lanes
-from tessera.llm.shared import stage
+from tessera.llm.shared import stage, tidy
 
 LENGTH = 400
 #: Different runs of an anchor value beyond which it is cut finer, starts of a piece, and bytes of one suffix array.
@@ -280,7 +280,7 @@ def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[s
         df = stage(df.select(*keep, text))
     rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).cast("binary").alias("_text"))
     raw = rows.select("_row", "_text")
-    found = stage(raw.mapInArrow(_map_runs(length, gram), "row long, anchor long, name long, first int, last int, times int"))
+    found = stage(raw.mapInArrow(tidy(_map_runs(length, gram)), "row long, anchor long, name long, first int, last int, times int"))
     # Anchors seen once go first, on narrow pre-aggregated rows; what follows moves only the rest.
     anchors = found.groupBy("anchor").agg(F.sum("times").alias("all")).where("all > 1").select("anchor")
     found = stage(found.join(anchors, "anchor"))
@@ -290,14 +290,14 @@ def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[s
         F.col("at.row").alias("_row"), F.struct("anchor", "name", F.col("at.first").alias("first"), F.col("at.last").alias("last"), "weight", (F.col("n") > HOT).alias("hot")).alias("w"))
     by_row = rows.repartition(parts, "_row")
     cut = (by_row.select("_row", "_text").join(wanted.groupBy("_row").agg(F.collect_list("w").alias("w")), "_row").select("_text", "w")
-           .mapInArrow(_cut(length), "key long, anchor long, name long, skip int, weight long, bytes binary"))
-    starts = stage(cut.repartition(parts, "key").sortWithinPartitions("key", "bytes").mapInArrow(_sort(length), "anchor long, name long, a int, e int"))
+           .mapInArrow(tidy(_cut(length)), "key long, anchor long, name long, skip int, weight long, bytes binary"))
+    starts = stage(cut.repartition(parts, "key").sortWithinPartitions("key", "bytes").mapInArrow(tidy(_sort(length)), "anchor long, name long, a int, e int"))
     hits = (found.join(starts, ["anchor", "name"]).select(F.col("row").alias("_row"), F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("e")).alias("e")).alias("s"))
             .groupBy("_row").agg(F.collect_list("s").alias("_found")))
     fields = [df.schema[c] for c in keep]
     kinds = ["bigint", "bigint", "bigint", "string", *["binary"] * with_kept]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} {k}" for n, k in zip(made, kinds, strict=True)])
-    return (by_row.join(hits, "_row", "left").select(*keep, "_text", "_found").mapInArrow(_apply(length, [*keep, *made], len(keep), with_kept), schema))
+    return (by_row.join(hits, "_row", "left").select(*keep, "_text", "_found").mapInArrow(tidy(_apply(length, [*keep, *made], len(keep), with_kept)), schema))
 
 
 def _anchors(run: bytes, length: int) -> np.ndarray:
