@@ -37,21 +37,30 @@ def stage(df: DataFrame) -> DataFrame:
 HELD: dict[str, Callable[[], None]] = {}
 
 
+# Both are looked up by name in the worker; a nested function would carry the driver's HELD along.
+def _drop(owner: str | None) -> None:
+    for other, drop in HELD.items():
+        if other != owner:
+            drop()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run, owner: str | None = None):
     """``run`` for mapInArrow, giving memory back: workers live on between stages.  What other owners hold goes at the
     start of a task, freed memory returns to the system at its end."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for other, drop in HELD.items():
-            if other != owner:
-                drop()
+        _drop(owner)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _trim()
 
     return go
 
