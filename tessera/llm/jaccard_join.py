@@ -340,7 +340,7 @@ def join(df: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     agree = stage(agree)
     reps = stage(member)
     to = lambda e, c: e.join(reps.select(F.col("id").alias(c), F.col("rep").alias(f"r{c}")), c)
-    among = to(to(agree, "a"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
+    among = to(to(agree, "a"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
     order = ["component", "p", "q", "right", "id"]
     sketches = sets.select("id", "size", "sketch").join(_tasks(stage(components(among)), SCREEN), "id").select(
         "component", F.explode("pairs").alias("x"), "id", "size", "sketch").select("component", "x.p", "x.q", "x.right", "id", "size", "sketch")

@@ -112,13 +112,14 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): each id of ``edges`` (a, b: long, not null) with the smallest id that it reaches.
 
-    Each task first contracts its own edges to stars.  Then large-star and small-star rounds
+    Edges meet by their larger end, so a task sees all smaller neighbours of its nodes and contracts them
+    to stars: about one edge for each node is left, however many edges a group has.  Then large-star and small-star rounds
     alternate until the set of edges stays as it is; each round is a partial aggregation and an
     equi-join whose large side may be split, so a hub with very many neighbours is no hot task.
     An empty input gives an empty result; loops and repeated edges are harmless.
     """
-    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    e = stage(edges.mapInArrow(tidy(_contract), "a long, b long"))
+    edges = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    e = stage(edges.repartition("a").mapInArrow(tidy(_contract), "a long, b long"))
     seen = None
     while True:
         print_ = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
