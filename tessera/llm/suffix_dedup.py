@@ -38,6 +38,8 @@ from tessera.llm.shared import stage, tidy
 LENGTH = 400
 #: Different runs of an anchor value beyond which it is cut finer, starts of a piece, and bytes of one suffix array.
 HOT, PIECE, ARRAY = 512, 16, 1 << 19
+#: Suffixes whose bytes are held at once while they are sorted directly.
+NAMES = 1 << 18
 _U = np.uint64
 
 
@@ -101,18 +103,46 @@ def _types(t: np.ndarray) -> np.ndarray:
     return out
 
 
+def _direct(t: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Ascending starts sorted by their next ``depth`` bytes; at most ``NAMES`` such strings exist at once.  Larger sets
+    are split by eight bytes at a time first."""
+    raw, n = t.tobytes(), len(t)
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([t, np.zeros(8, np.uint8)]), 8)
+    out, todo = [np.zeros(0, np.int64)], [(starts, 0)]
+    while todo:
+        part, k = todo.pop()
+        if k >= depth:
+            out.append(np.sort(part)[::-1])  # equal but for their ends: the shorter first
+        elif len(part) <= NAMES:
+            names = [raw[i + k : i + depth] for i in part.tolist()]
+            out.append(part[sorted(range(len(names)), key=names.__getitem__)])
+        else:
+            w = words[np.minimum(part + k, n)].view(">u8").ravel()
+            order = np.argsort(w, kind="stable")
+            part, w = part[order], w[order]
+            cuts, runs_ = [0, *(np.flatnonzero(w[1:] != w[:-1]) + 1).tolist(), len(w)], []
+            begin = 0
+            for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e - begin > NAMES:
+                    if a > begin:
+                        runs_.append((part[begin:a], k))
+                    begin = a
+                if e - a > NAMES:
+                    runs_.append((part[a:e], k + 8))
+                    begin = e
+            if begin < len(w):
+                runs_.append((part[begin:], k))
+            todo.extend(reversed(runs_))
+    return np.concatenate(out)
+
+
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of bytes, sorted by at least their first ``depth`` bytes, in two stages."""
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
-    raw = t.tobytes()
     smaller = _types(t)
-    direct = np.flatnonzero(smaller)
-    names = [raw[i : i + depth] for i in direct.tolist()]
-    order = sorted(range(len(names)), key=names.__getitem__)
-    direct = direct[order]
-    del names
+    direct = _direct(t, np.flatnonzero(smaller), depth)
     bounds = np.searchsorted(t[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[t[-1]].append(np.array([n - 1]))  # its successor is the empty suffix

@@ -151,8 +151,10 @@ def test_suffix_dedup(docs, empty, hot, monkeypatch):
     assert suffix_dedup.remove(empty, length).count() == 0
 
 
-def test_suffix_array():
-    for t in [b"banana", b"aaaaaa", b"abcabcabcab", bytes(R.choice(b"ab") for _ in range(300)), bytes(range(255, -1, -1))]:
+@pytest.mark.parametrize("names", [1 << 18, 3])
+def test_suffix_array(names, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "NAMES", names)
+    for t in [b"banana", b"aaaaaa", b"ab" * 40, b"\0a" * 9 + b"\0", b"abcabcabcab", bytes(R.choice(b"ab") for _ in range(300)), bytes(range(255, -1, -1))]:
         sa = suffix_dedup.suffix_array(np.frombuffer(t, np.uint8), len(t) + 1)
         assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
