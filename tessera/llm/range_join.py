@@ -1,7 +1,7 @@
 """Embedding near-dedup: an exact metric range join over unit vectors.
 
-Cosine >= c is a distance of at most r = sqrt(2 - 2c) between unit vectors.  Pivots (a bounded sample)
-partition the vectors: each vector's home is the nearest pivot's cell.  By the triangle inequality a vector
+Cosine >= c is a distance of at most r = sqrt(2 - 2c) between unit vectors.  Pivots (a bounded sample
+without vectors that nearly coincide) partition the vectors: each vector's home is the nearest pivot's cell.  By the triangle inequality a vector
 x can have partners at home in the cell of pivot p only if (d(x,p)^2 - d(x,h)^2) / (2 d(p,h)) <= r, where h
 is its own pivot, and only if d(x,p) is within r of the distances that the cell's members have.  So x is
 sent to these cells only, and every cell joins independently.
@@ -34,6 +34,9 @@ from tessera.llm.shared import components, forest, stage, tidy
 PER_PIVOT, PIVOTS = 4096, (8, 1024)
 BLOCK, RUN = 2048, 8192
 _SLACK = 1e-6
+#: Smallest distance of two pivots.  Rounding errs by some 1e-15 in squared distances, and the inequality divides it by
+#: d(p,h) and d(p,h)^2: pivots this far apart keep the quotient's error well below ``_SLACK``.
+APART = 1e-3
 
 
 def _clean(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -66,6 +69,17 @@ def _by_length(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordB
         yield int(d), b.filter(pa.array(sizes == d))
 
 
+def _apart(v: np.ndarray) -> np.ndarray:
+    """Those of the unit vectors that are at least ``APART`` from all kept before them."""
+    v, kept = np.unique(v, axis=0), []
+    near = np.zeros(len(v), bool)
+    for i in range(len(v)):
+        if not near[i]:
+            kept.append(i)
+            near |= np.sqrt(((v - v[i]) ** 2).sum(1)) < APART
+    return v[kept]
+
+
 def _homes(pivots: dict[int, np.ndarray]):
     """dim, home and distance to the home's pivot; a length without pivots has one cell, -1."""
 
@@ -184,7 +198,7 @@ def link(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: st
     pivots: dict[int, list[bytes]] = {}
     for r in clean.sort(F.xxhash64("place", F.lit(5))).limit(wanted).select("unit").collect():
         pivots.setdefault(len(r.unit) // 8, []).append(bytes(r.unit))
-    piv = {d: np.unique(np.stack([np.frombuffer(x, float) for x in v]), axis=0) for d, v in pivots.items()}
+    piv = {d: _apart(np.stack([np.frombuffer(x, float) for x in v])) for d, v in pivots.items()}
     homed = clean.mapInArrow(tidy(_homes(piv)), "id long, place long, unit binary, dim int, home int, near double")
     r = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
     cells = {(x.dim, x.home): (x.n, x.low, x.high) for x in homed.groupBy("dim", "home").agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high")).collect()}

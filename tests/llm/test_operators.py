@@ -76,6 +76,20 @@ def test_range_join(spark):
     assert range_join.link(df.where("false")).count() == 0
 
 
+def test_range_join_scaled_copies(spark, monkeypatch):
+    """Copies of one direction at other lengths, whose units differ in the last bits, are a third of the pivots."""
+    monkeypatch.setattr(range_join, "PER_PIVOT", 8)
+    rng = np.random.default_rng(11)
+    far, hot = rng.normal(size=(1000, 64)), rng.normal(size=64) * rng.uniform(0.1, 9, (500, 1))
+    v = rng.permutation(np.concatenate([far, hot])).astype(np.float32)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in range_join.link(df).collect()}
+    assert got == {i: (int(n.sum()), min([i, *np.flatnonzero(n).tolist()])) for i, n in enumerate(near)}
+
+
 def test_licenses(docs, empty):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert [got[i].n_words for i in range(len(TEXTS))] == [len(words(t)) for t in TEXTS]
