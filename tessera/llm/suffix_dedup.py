@@ -296,10 +296,18 @@ def _apply(length: int, names: list[str], at: int, with_kept: bool):
     return run
 
 
+def _numbered(df: DataFrame, columns: list) -> DataFrame:
+    """``columns`` of a scan of Parquet files, and _row: the file's number, written once, and the place in the file.
+    Splits, and monotonically_increasing_id with them, may differ each time that files are scanned."""
+    files = stage(df.select(F.col("_metadata.file_path").alias("_file")).distinct().coalesce(1).select("_file", F.monotonically_increasing_id().alias("_number")))
+    placed = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"), *columns)
+    return placed.join(F.broadcast(files), "_file").withColumn("_row", F.shiftleft("_number", 40) + F.col("_at")).drop("_file", "_at", "_number")
+
+
 def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[str] | None = None, with_kept: bool = True, scanned: bool = False) -> DataFrame:
     """``keep`` (default: all other columns) with n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept binary
-    (the remaining bytes).  ``scanned`` says that ``df`` is a plain scan of files, which numbers its rows alike each
-    time; any other input is staged first."""
+    (the remaining bytes).  ``scanned`` says that ``df`` is a plain scan of Parquet files: its rows are then
+    numbered by file and place in the file, which no split changes; any other input is staged first."""
     if length < 2:
         raise ValueError("length: at least 2")
     gram = gram_of(length)
@@ -308,7 +316,7 @@ def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[s
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not scanned:
         df = stage(df.select(*keep, text))
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).cast("binary").alias("_text"))
+    rows = _numbered(df, [*keep, F.col(text).cast("binary").alias("_text")])
     raw = rows.select("_row", "_text")
     found = stage(raw.mapInArrow(tidy(_map_runs(length, gram)), "row long, anchor long, name long, first int, last int, times int"))
     # Anchors seen once go first, on narrow pre-aggregated rows; what follows moves only the rest.

@@ -165,6 +165,24 @@ def test_suffix_dedup(docs, empty, hot, monkeypatch):
     assert suffix_dedup.remove(empty, length).count() == 0
 
 
+def test_suffix_dedup_other_splits(spark, tmp_path):
+    """Files that the last scan splits otherwise than the first ones."""
+    long = [prose(400) for _ in range(40)]
+    rows = [(i, f"{t} {BASE}" if i % 9 == 0 else t) for i, t in enumerate(long)]
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], "doc_id long, text string").coalesce(1).write.option("parquet.block.size", 4096).mode("append").parquet(f"{tmp_path}/d")
+    want = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.remove(spark.read.parquet(f"{tmp_path}/d"), 60).collect()}
+    assert sum(n > 0 for n, _ in want.values()) >= 5
+    out = suffix_dedup.remove(spark.read.parquet(f"{tmp_path}/d"), 60, scanned=True)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    try:
+        got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == want
+
+
 @pytest.mark.parametrize("names", [1 << 18, 3])
 def test_suffix_array(names, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "NAMES", names)
