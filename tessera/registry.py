@@ -261,6 +261,22 @@ def blast_all(spark, d):
     return walk.blast(walk.steps(P.relations(spark, d)))
 
 
+_CONTAINED = f"{_EDGE}, ct AS (SELECT key AS root, key FROM entities UNION SELECT c.root, e.key FROM ct c JOIN entities e ON e.parent = c.key)"
+_FROM_CT = "{n}1 AS (SELECT c.root, e.other AS key FROM ct c JOIN {e} e ON e.key = c.key EXCEPT SELECT root, key FROM ct), {n}2 AS (SELECT l.root, e.other AS key FROM {n}1 l JOIN {e} e ON e.key = l.key EXCEPT SELECT root, key FROM ct EXCEPT SELECT root, key FROM {n}1), {n} AS (SELECT root, key, 1 AS depth FROM {n}1 UNION ALL SELECT root, key, 2 FROM {n}2)"
+
+
+@query(f"WITH RECURSIVE {_CONTAINED}, {_FROM_CT.format(n='w', e='ed')} SELECT n.key AS root, count(w.key)::BIGINT AS dependents, (count(w.key) FILTER (w.depth = 1))::BIGINT AS direct FROM entities n LEFT JOIN w ON w.root = n.key GROUP BY 1")
+def blast_contained(spark, d):
+    return walk.blast_contained(walk.steps(P.relations(spark, d)), P.entities(spark, d))
+
+
+@query(f"WITH RECURSIVE {_CONTAINED}, {_FROM_CT.format(n='w', e='ed')}, {_FROM_CT.format(n='p', e='pe')} SELECT w.root, w.depth, p.depth AS proven_depth, count(*)::BIGINT AS n FROM w LEFT JOIN p ON p.root = w.root AND p.key = w.key GROUP BY ALL")
+def impact_contained(spark, d):
+    """Upstream walks of every entity, from it and all that it contains."""
+    roots = walk.contained(P.entities(spark, d))
+    return walk.impact(walk.steps(P.relations(spark, d)), roots, 2).groupBy("root", "depth", "proven_depth").agg(F.count("*").alias("n"))
+
+
 @query("WITH t AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), e AS (SELECT DISTINCT a AS key, b AS other FROM t WHERE b IS NOT NULL AND a <> b), r AS (SELECT key AS root, other AS k FROM e UNION SELECT a.key, b.other FROM e a JOIN e b ON a.other = b.key), s AS (SELECT DISTINCT root, k FROM r WHERE root <> k) SELECT x.root, x.k AS key FROM s x JOIN s y ON x.root = y.k AND x.k = y.root")
 def scc_cyclic(spark, d):
     follow = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
