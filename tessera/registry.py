@@ -281,7 +281,7 @@ def impact_contained(spark, d):
 def scc_cyclic(spark, d):
     follow = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     e = P.read(spark, d, "events").select(F.col("event_type").alias("key"), follow.alias("other")).where("other is not null and key <> other").distinct()
-    return walk.cyclic(e, 2)
+    return walk.cyclic(e)
 
 
 @query(f"WITH {P.SQL}, a AS (SELECT key AS root, parent FROM entities), c AS (SELECT e.key FROM entities e WHERE parent IN (SELECT key FROM entities WHERE parent = 'region:1')) SELECT key, 1 AS depth FROM entities WHERE parent = 'region:1' UNION ALL SELECT key, 2 FROM c UNION ALL SELECT key, 3 FROM entities WHERE parent IN (SELECT key FROM c)")
