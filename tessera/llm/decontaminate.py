@@ -10,7 +10,7 @@ searched in several passes that carry the runs found so far, so nothing is dropp
 not grow.  No shuffle.
 
 Defined results: null or empty text, or text without words: no words, no hits; items without words
-match nothing; items with equal windows are all reported; repeated rows stay; an empty benchmark
+match nothing; items with equal windows are all reported; those of items with a null id are hit, but not named; repeated rows stay; an empty benchmark
 gives no hits; other columns are passed on, except those with a result's name.
 """
 
@@ -120,9 +120,9 @@ class Windows:
         return runs, owned
 
 
-def chunks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+def chunks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items as (id, text) lists of bounded size, one at a time on the driver."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("i is not null")
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n = -(-2 * total // limit) if total > limit else 1
     for k in range(n):
@@ -166,7 +166,8 @@ def _pass(windows: Windows, at: int, again: bool, names: list[str]):
                 hit = np.cumsum(mark)[:-1] > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
                 for p, k in owned:
-                    had[int(np.searchsorted(w.first, p, "right")) - 1].add(windows.names[k])
+                    if windows.names[k] is not None:  # such an item's words are hit, but it has no name to give
+                        had[int(np.searchsorted(w.first, p, "right")) - 1].add(windows.names[k])
                 out_runs = []
                 n_hit = total[w.first[1:]] - total[w.first[:-1]]
                 for f, l, n in zip(w.first[:-1].tolist(), w.first[1:].tolist(), n_hit.tolist(), strict=True):

@@ -132,6 +132,14 @@ def test_decontamination(spark, docs, empty, limit):
     assert decontaminate.scan(empty, bench).count() == 0 and decontaminate.scan(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 200])
+def test_decontamination_without_item_id(spark, docs, limit):
+    """Passages of items without an id are hit; only named items are given."""
+    bench = spark.createDataFrame([(None, " ".join(BASE.split()[10:40])), (None, prose(15)), ("5", " ".join(BASE.split()[60:80]))], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.scan(docs, bench, limit=limit).collect()}
+    assert (got[5].n_hit, got[5].runs, got[5].items) == (50, [10, 40, 60, 80], ["5"])
+
+
 def test_quality(spark):
     rows = [(i, ("GOOD!! " if i % 3 == 0 else "calm words, ") * (i % 7 + 3)) for i in range(600)] + [(600, None), (601, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
