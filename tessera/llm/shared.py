@@ -17,10 +17,14 @@ FOREST_EDGES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none."""
+    """The cluster's shared folder, as the session names it.  Where it names none: on one machine a temporary folder, on a
+    cluster a folder in the warehouse, which all executors see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-stage-")
+        if spark.sparkContext.master.startswith("local"):
+            found = "file://" + tempfile.mkdtemp(prefix="tessera-stage-")
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-stage"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -89,53 +93,61 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _contract(limit: int):
+    """Spanning forests of at most ``limit`` edges at a time: an edge from each node to the smallest one it reaches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            a, b = (np.concatenate([np.asarray(x.column(i)) for x in held]) for i in (0, 1))
+            nodes, root = forest(a, b)
+            far = nodes != root
+            out = pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], ["a", "b"])
+            for i in range(0, out.num_rows, 100_000):
+                yield out.slice(i, 100_000)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= limit:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        a, b = (np.concatenate([np.asarray(x.column(i)) for x in held]) for i in (0, 1))
-        nodes, root = forest(a, b)
-        far = nodes != root
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], ["a", "b"])
+    return run
 
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= FOREST_EDGES:
-            yield from flush()
-            held, size = [], 0
-    if size:
-        yield from flush()
+
+def _stars(e: DataFrame) -> DataFrame:
+    return (e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+            .unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            .groupBy("id").agg(F.min("component").alias("component")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, component): each id of ``edges`` (a, b: long, not null) with the smallest id that it reaches.
 
-    Edges meet by their larger end, so a task sees all smaller neighbours of its nodes and contracts them
-    to stars: about one edge for each node is left, however many edges a group has.  Then large-star and small-star rounds
-    alternate until the set of edges stays as it is; each round is a partial aggregation and an
-    equi-join whose large side may be split, so a hub with very many neighbours is no hot task.
-    An empty input gives an empty result; loops and repeated edges are harmless.
+    Edges meet by their larger end, and each task replaces those it has by a spanning forest of stars, at most
+    ``limit`` (default ``FOREST_EDGES``) edges at a time.  If all that is left fits one such forest, one more task ends
+    the work.  Otherwise rounds follow: every node sends its larger neighbours to its smallest one (an equi-join
+    with one row for each node on one side, so a hub's side may be split), and the new edges are contracted by their larger ends
+    again; they end when a round changes nothing.  An empty input gives an empty result; loops and repeated edges are harmless.
     """
+    limit = limit or FOREST_EDGES
     edges = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    e = stage(edges.repartition("a").mapInArrow(tidy(_contract), "a long, b long"))
+    contract = lambda df: df.mapInArrow(tidy(_contract(limit)), "a long, b long")
+    e = stage(contract(edges.repartition("a")))
     seen = None
     while True:
-        print_ = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if print_ == seen or not print_[0]:
-            return (
-                e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-                .unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-                .groupBy("id").agg(F.min("component").alias("component"))
-            )
-        seen = print_
+        n, *print_ = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if n <= limit:
+            return _stars(stage(contract(e.coalesce(1))) if n else e)
+        if [n, *print_] == seen:
+            return _stars(e)
+        seen = [n, *print_]
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        low = low.where("a <> m")
-        small = low.select("a", F.col("m").alias("b")).unionByName(
-            large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        e = stage(small)
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        e = stage(contract(large.distinct().repartition("a")))

@@ -13,12 +13,15 @@ anchor value and go into suffix arrays:
 
 Scale: only hashes and positions of runs are shuffled at first (about two for each ``length - gram`` bytes) with
 partial counts; texts are shuffled once by id, and only runs with repeated anchors beyond that.
-An anchor value with more than ``HOT`` different runs is cut finer: into pieces of ``PIECE`` starts that meet by the hash of the
-bytes they share, so no task gets a hot anchor whole.
+Runs of an anchor value that hold more than ``ARRAY`` bytes in all are cut finer: into pieces of ``PIECE`` starts that meet by the
+hash of the bytes they share.  Equal pieces are counted before they are shuffled, so an array holds each only once.  Different
+pieces with the same shared bytes that still hold more than ``ARRAY`` bytes are cut once more, into single windows, of which equal
+ones are counted; so no task sorts more than about two ``ARRAY``, however many rows share a passage.
 
-Defined results: null and empty text, and text shorter than ``length``: nothing removed; repeats inside one text
+Defined results: null and empty text, and text shorter than ``length``: nothing removed (kept_text of a null text is null); repeats inside one text
 count; rows with equal ids and texts are places of their own only if ids differ or the row repeats (each repeated
-row counts); a null id is a row like others; an empty table gives an empty table.
+row counts); a null id is a row like others; an empty table gives an empty table; a column that has a result's name is
+replaced by the result.
 """
 
 from __future__ import annotations
@@ -31,15 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import lanes
 from tessera.llm.shared import stage, tidy
 
 LENGTH = 400
-#: Different runs of an anchor value beyond which it is cut finer, starts of a piece, and bytes of one suffix array.
-HOT, PIECE, ARRAY = 512, 16, 1 << 19
+#: Bytes of one suffix array, and starts of a piece of a hot anchor's run.
+ARRAY, PIECE = 1 << 18, 16
 #: Suffixes whose bytes are held at once while they are sorted directly.
-NAMES = 1 << 18
+NAMES = 1 << 15
 _U = np.uint64
 
 
@@ -192,12 +196,16 @@ def repeats(t: np.ndarray, ok: np.ndarray, weight: np.ndarray, length: int) -> n
     return found
 
 
-def _cut(length: int):
-    """Cuts runs out of texts; a hot anchor's run falls into pieces that meet by the bytes they share."""
+_CUT = "key long, one long, two long, skip int, weight long, hot boolean, anchor long, name long, bytes binary"
+
+
+def _cut(length: int, piece: int):
+    """Cuts runs out of texts.  A hot anchor's run falls into pieces that meet by the bytes they share (key) and are
+    known by all their bytes (one, two); any other run meets by its anchor and is known by anchor and name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        names = ["key", "anchor", "name", "skip", "weight", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+        names = [x.split()[0] for x in _CUT.split(", ")]
         for b in batches:
             out, size = [], 0
             for text, want in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -205,20 +213,25 @@ def _cut(length: int):
                 for w in want:
                     f, l = w["first"], w["last"]
                     if not w["hot"]:
-                        out.append((w["anchor"], w["anchor"], w["name"], 0, w["weight"], raw[f : l + length]))
+                        out.append((w["anchor"], w["anchor"], w["name"], 0, w["weight"], False, w["anchor"], w["name"], raw[f : l + length]))
                         size += l + length - f
                         continue
                     # Equal windows have the same offset to their anchors and so lie in cells of the same
                     # number; the core is what all windows of a cell share.
                     anchor = f + _anchors(raw[f : l + length], length)
                     start = np.arange(f, l + 1)
-                    cell = (anchor - start) // PIECE
+                    cell = (anchor - start) // piece
                     begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]))
                     for x, y in zip(begin.tolist(), [*(begin[1:] - 1).tolist(), l - f], strict=True):
-                        core = int(anchor[x]) - int(cell[x]) * PIECE
-                        d = hashlib.blake2b(raw[core : core + length - PIECE + 1], digest_size=8, salt=int(cell[x]).to_bytes(8, "little")).digest()
-                        out.append((int.from_bytes(d, "little", signed=True), w["anchor"], w["name"], x, w["weight"], raw[f + x : f + y + length]))
-                        size += y - x + length
+                        core = int(anchor[x]) - int(cell[x]) * piece
+                        key = hashlib.blake2b(raw[core : core + length - piece + 1], digest_size=8, salt=int(cell[x]).to_bytes(8, "little")).digest()
+                        part = raw[f + x : f + y + length]
+                        own = hashlib.blake2b(part, digest_size=16, salt=key).digest()
+                        out.append((*(int.from_bytes(d, "little", signed=True) for d in (key, own[:8], own[8:])), x, w["weight"], True, w["anchor"], w["name"], part))
+                        size += len(part)
+                        if size > 1 << 22:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                            out, size = [], 0
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
                     out, size = [], 0
@@ -228,39 +241,35 @@ def _cut(length: int):
     return run
 
 
-def _sort(length: int):
-    """Repeated starts, relative to their runs, of all pieces that share a key; rows come sorted by key."""
+def _sort(length: int, array: int):
+    """Repeated starts, relative to their pieces, of all pieces that share a key; rows come sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            t = np.frombuffer(b"".join(x[5] for x in held), np.uint8)
-            lens = np.array([len(x[5]) for x in held])
+            t = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
+            lens = np.array([len(x[4]) for x in held])
             begin = np.cumsum(lens) - lens
             ok = np.ones(len(t), bool)
             for b_, n in zip(begin.tolist(), lens.tolist(), strict=True):
                 ok[b_ + n - length + 1 : b_ + n] = False
-            hit = repeats(t, ok, np.repeat([x[4] for x in held], lens), length)
+            hit = repeats(t, ok, np.repeat([x[3] for x in held], lens), length)
             edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
             a, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
             own = np.searchsorted(begin, a, "right") - 1
-            skip = np.array([x[3] for x in held]) - begin
             return pa.RecordBatch.from_arrays([
                 pa.array(np.array([x[1] for x in held], np.int64)[own]), pa.array(np.array([x[2] for x in held], np.int64)[own]),
-                pa.array(a + skip[own], pa.int32()), pa.array(e + skip[own], pa.int32())], ["anchor", "name", "a", "e"])
+                pa.array(a - begin[own], pa.int32()), pa.array(e - begin[own], pa.int32())], ["one", "two", "a", "e"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= ARRAY and row[0] != last:
+                if size >= array and row[0] != last:
                     yield flush()
                     held, size = [], 0
-                if held and row[0] == last and row[5] == held[-1][5] and row[1:4] == held[-1][1:4]:
-                    held[-1] = (*held[-1][:4], held[-1][4] + row[4], row[5])
-                    continue
                 held.append(row)
-                size += len(row[5])
+                size += len(row[4])
                 last = row[0]
         if held:
             yield flush()
@@ -268,30 +277,46 @@ def _sort(length: int):
     return run
 
 
-def _apply(length: int, names: list[str], at: int, with_kept: bool):
+def _windows(length: int):
+    """The single windows of pieces, by the digest of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                texts = part.column(3).to_pylist()
+                starts = [max(0, len(x) - length + 1) for x in texts]
+                digest = [hashlib.blake2b(x[s : s + length], digest_size=16).digest() for x, n in zip(texts, starts, strict=True) for s in range(n)]
+                own = pa.array(np.repeat(np.arange(len(texts)), starts))
+                at = np.concatenate([np.arange(n) for n in starts]) if starts else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([part.column(c).take(own) for c in range(3)] + [pa.array(at, pa.int32()), pa.array(digest, pa.binary())], ["one", "two", "weight", "a", "window"])
+
+    return run
+
+
+def _apply(length: int, names: list[str], at: int):
     """Removes the bytes that repeated starts cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_bytes, n_removed, n_spans, digest, texts = [], [], [], [], []
-            for text, found in zip(b.column(at), b.column(at + 1).to_pylist(), strict=True):
-                raw = text.as_py() or b""
-                n_bytes.append(len(raw))
-                kept, done, spans, end = [], 0, 0, -1
-                for a, e in sorted((x["a"], x["e"]) for x in found or ()):
-                    if a > end:
-                        spans += 1
-                        kept.append(raw[done:a])
-                    end = max(end, e + length)
-                    done = end
-                kept.append(raw[done:])
-                k = b"".join(kept)
-                n_removed.append(len(raw) - len(k)), n_spans.append(spans)
-                digest.append(hashlib.sha256(k).hexdigest())
-                if with_kept:
-                    texts.append(k if spans else raw)
-            out = [*b.columns[:at], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(texts, pa.binary())] if with_kept else out, names)
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                rows = []
+                for text, found in zip(part.column(at), part.column(at + 1).to_pylist(), strict=True):
+                    raw = text.as_py() or b""
+                    kept, done, spans, end = [], 0, 0, -1
+                    for a, e in sorted((x["a"], x["e"]) for x in found or ()):
+                        if a > end:
+                            spans += 1
+                            kept.append(raw[done:a])
+                        end = max(end, e + length)
+                        done = end
+                    kept.append(raw[done:])
+                    k = b"".join(kept) if spans else raw
+                    rows.append((len(raw), len(raw) - len(k), spans, hashlib.sha256(k).hexdigest(), k, k.decode("utf-8", "ignore") if text.is_valid else None))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *made], names)
 
     return run
 
@@ -304,14 +329,16 @@ def _numbered(df: DataFrame, columns: list) -> DataFrame:
     return placed.join(F.broadcast(files), "_file").withColumn("_row", F.shiftleft("_number", 40) + F.col("_at")).drop("_file", "_at", "_number")
 
 
-def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[str] | None = None, with_kept: bool = True, scanned: bool = False) -> DataFrame:
-    """``keep`` (default: all other columns) with n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept binary
-    (the remaining bytes).  ``scanned`` says that ``df`` is a plain scan of Parquet files: its rows are then
-    numbered by file and place in the file, which no split changes; any other input is staged first."""
+def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[str] | None = None, scanned: bool = False,
+           array: int | None = None, piece: int | None = None) -> DataFrame:
+    """``keep`` (default: all other columns) with n_bytes, n_removed, n_spans, kept_sha256, kept binary (the remaining bytes)
+    and kept_text string (the same without characters of which only a part is left).  ``scanned`` says that ``df`` is a
+    plain scan of Parquet files: its rows are then numbered by file and place in the file, which no split changes; any other
+    input is staged first."""
     if length < 2:
         raise ValueError("length: at least 2")
-    gram = gram_of(length)
-    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
+    array, piece, gram = array or ARRAY, min(piece or PIECE, length), gram_of(length)
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text, *made)]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not scanned:
@@ -323,19 +350,29 @@ def remove(df: DataFrame, length: int = LENGTH, text: str = "text", keep: list[s
     anchors = found.groupBy("anchor").agg(F.sum("times").alias("all")).where("all > 1").select("anchor")
     found = stage(found.join(anchors, "anchor"))
     distinct = found.groupBy("anchor", "name").agg(F.count("*").alias("weight"), F.min(F.struct("row", "first", "last")).alias("at"))
-    counts = found.groupBy("anchor").agg(F.countDistinct("name").alias("n"))
-    wanted = distinct.join(counts, "anchor").select(
-        F.col("at.row").alias("_row"), F.struct("anchor", "name", F.col("at.first").alias("first"), F.col("at.last").alias("last"), "weight", (F.col("n") > HOT).alias("hot")).alias("w"))
+    sizes = distinct.groupBy("anchor").agg(F.sum(F.col("at.last") - F.col("at.first") + length).alias("n"))
+    wanted = distinct.join(sizes, "anchor").select(
+        F.col("at.row").alias("_row"), F.struct("anchor", "name", F.col("at.first").alias("first"), F.col("at.last").alias("last"), "weight", (F.col("n") > array).alias("hot")).alias("w"))
     by_row = rows.repartition(parts, "_row")
-    cut = (by_row.select("_row", "_text").join(wanted.groupBy("_row").agg(F.collect_list("w").alias("w")), "_row").select("_text", "w")
-           .mapInArrow(tidy(_cut(length)), "key long, anchor long, name long, skip int, weight long, bytes binary"))
-    starts = stage(cut.repartition(parts, "key").sortWithinPartitions("key", "bytes").mapInArrow(tidy(_sort(length)), "anchor long, name long, a int, e int"))
-    hits = (found.join(starts, ["anchor", "name"]).select(F.col("row").alias("_row"), F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("e")).alias("e")).alias("s"))
+    cut = stage(by_row.select("_row", "_text").join(wanted.groupBy("_row").agg(F.collect_list("w").alias("w")), "_row").select("_text", "w")
+                .mapInArrow(tidy(_cut(length, piece)), _CUT))
+    pieces = stage(cut.where("hot").groupBy("key", "one", "two").agg(F.sum("weight").alias("weight"), F.first("bytes").alias("bytes")))
+    full = pieces.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > array).select("key")
+    into = cut.where("not hot").select("key", "one", "two", "weight", "bytes").unionByName(pieces.join(full, "key", "left_anti"))
+    sorted_ = (into.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_sort(length, array)), "one long, two long, a int, e int"))
+    windows = pieces.join(full, "key", "left_semi").select("one", "two", "weight", "bytes").mapInArrow(tidy(_windows(length)), "one long, two long, weight long, a int, window binary")
+    often = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
+    single = windows.join(often, "window").select("one", "two", "a", F.col("a").alias("e"))
+    starts = stage(sorted_.unionByName(single))
+    named = cut.where("hot").join(starts, ["one", "two"]).select("anchor", "name", (F.col("skip") + F.col("a")).alias("a"), (F.col("skip") + F.col("e")).alias("e"))
+    plain = starts.select(F.col("one").alias("anchor"), F.col("two").alias("name"), "a", "e")
+    hits = (found.join(plain.unionByName(named), ["anchor", "name"])
+            .select(F.col("row").alias("_row"), F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("e")).alias("e")).alias("s"))
             .groupBy("_row").agg(F.collect_list("s").alias("_found")))
     fields = [df.schema[c] for c in keep]
-    kinds = ["bigint", "bigint", "bigint", "string", *["binary"] * with_kept]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} {k}" for n, k in zip(made, kinds, strict=True)])
-    return (by_row.join(hits, "_row", "left").select(*keep, "_text", "_found").mapInArrow(tidy(_apply(length, [*keep, *made], len(keep), with_kept)), schema))
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType(), T.StringType()]
+    schema = T.StructType(fields + [T.StructField(n, k) for n, k in zip(made, kinds, strict=True)])
+    return by_row.join(hits, "_row", "left").select(*keep, "_text", "_found").mapInArrow(tidy(_apply(length, [*keep, *made], len(keep))), schema)
 
 
 def _anchors(run: bytes, length: int) -> np.ndarray:
@@ -349,4 +386,5 @@ def _anchors(run: bytes, length: int) -> np.ndarray:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"], with_kept=False, scanned=True)
+    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"], scanned=True).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))

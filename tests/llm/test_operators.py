@@ -44,13 +44,14 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [None, 7])
+def test_components(spark, limit):
     edges = [(R.randint(0, 300), R.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]
     label = {x: x for e in edges for x in e}
     for _ in range(400):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6), limit).collect()}
     alone = {a for a, b in edges if a == b} - {x for e in edges if e[0] != e[1] for x in e}
     assert got == {k: v for k, v in label.items() if k not in alone}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -151,16 +152,15 @@ def test_quality(spark):
     assert quality.score(docs, quality.learn(docs, labels.where("false"))).where("score <> 0.5").count() == 0
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_suffix_dedup(docs, empty, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    length = 60
+@pytest.mark.parametrize(("length", "array", "piece"), [(60, None, None), (60, 1, 4), (60, 400, 16), (400, None, None), (400, 2000, None)])
+def test_suffix_dedup(docs, empty, length, array, piece):
+    """Against the set of all windows; small arrays cut hot runs into pieces, and hot pieces into windows."""
     raw = [(t or "").encode() for t in TEXTS]
     seen = {}
     for t in raw:
         for i in range(len(t) - length + 1):
             seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
-    got = {r.doc_id: r for r in suffix_dedup.remove(docs, length).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove(docs, length, array=array, piece=piece).collect()}
     for n, t in enumerate(raw):
         gone = np.zeros(len(t) + 1, bool)
         for i in range(len(t) - length + 1):
@@ -169,7 +169,7 @@ def test_suffix_dedup(docs, empty, hot, monkeypatch):
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
         spans = int(np.sum(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
         assert (got[n].n_bytes, got[n].n_removed, got[n].n_spans, bytes(got[n].kept)) == (len(t), int(gone.sum()), spans, kept), n
-        assert got[n].kept_sha256 == hashlib.sha256(kept).hexdigest()
+        assert got[n].kept_sha256 == hashlib.sha256(kept).hexdigest() and (got[n].kept_text or "") == kept.decode("utf-8", "ignore")
     assert suffix_dedup.remove(empty, length).count() == 0
 
 
