@@ -30,12 +30,15 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return jaccard_join.deduplicate(docs, 5, Fraction(4, 5))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """All columns but the text in one struct, so that no result takes the place of a column of its name."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_doc"), "text")
+
+
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of ``REPEAT_BYTES`` that stand elsewhere too; cut characters are dropped."""
-    kept = suffix_dedup.remove(docs, REPEAT_BYTES, scanned=True)  # stages are read from files
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "utf-8")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
-    text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(text)
-    out = kept.withColumn("text", text)
+    """Texts without strings of ``REPEAT_BYTES`` that stand elsewhere too; characters of which a part was cut are dropped."""
+    kept = suffix_dedup.remove(_packed(docs), REPEAT_BYTES, scanned=True)  # stages are read from files
+    out = kept.select("_doc.*", F.col("kept_text").alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -43,7 +46,8 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
-    return decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns).where("n_hit = 0").select(*docs.columns)
+    found = decontaminate.scan(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["_doc"])
+    return found.where("n_hit = 0").select("_doc.*", "text").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
