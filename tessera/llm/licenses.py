@@ -1,21 +1,25 @@
 """Fuzzy search for short licence notices.
 
-A notice of length L that may hold k errors is cut into k + 1 pieces; by the pigeonhole principle
-one piece is left as it is.  An automaton finds all pieces in one run over the words of a text, and only
-around them the regex library matches the notice with at most k edits and reports the span.
+A notice is a row of segments: some may hold errors, up to a number for each; the words that tell one licence from another
+(versions, "nc", "sa", "lesser") must be there as they are.  A notice that may hold k errors in all is cut into k + 1 pieces; by
+the pigeonhole principle one piece is left as it is.  An automaton finds all pieces in one run over the words of a text,
+and only around them the regex library matches the notice with bounded edits and reports the span.  Of spans that overlap,
+the one with the best score stays (of equals the longer, then the first label).
 Exact phrases (``BASE``) are reported as well.  One scan, no shuffle.
 
 Defined results: null or empty text: no words, no places, score 0; a text of any length is searched
-whole; repeated rows stay; an empty table gives an empty table; other columns are passed on, except
-those with a result's name.
+whole, in time that grows with its length; ties are settled as said above; repeated rows stay; an empty table gives an empty table; other columns are
+passed on, except those with a result's name.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,35 +27,49 @@ from pyspark.sql import functions as F
 
 #: phrase -> label
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: (label, notice in lower-case words, edits allowed)
+_CC = [(f"cc-{name}-4.0", (("licensed under cc", 2), f" {name.replace('-', ' ')} 4 0")) for name in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")]
+#: (label, segments in lower-case words: (text, edits allowed), or text that must be there as it is)
 NOTICES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", 4),
-    ("mit", "released under the mit license", 2),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 7),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", 5),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu", 6),
-    ("lgpl", "licensed under the gnu lesser general public license", 4),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", 2),
-    ("cc-by-4.0", "licensed under cc by 4 0", 1),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", 1),
-    ("cc0-1.0", "cc0 1 0 universal public domain dedication", 4),
-    ("bsd", "redistribution and use in source and binary forms with or without modification", 7),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", 5),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", 7),
-    ("unlicense", "this is free and unencumbered software released into the public domain", 7),
-    ("all-rights-reserved", "all rights reserved", 1),
+    ("apache-2.0", (("licensed under the apache license version", 4), " 2 0")),
+    ("mit", (("released under the", 2), " mit", (" license", 1))),
+    ("mit", (("permission is hereby granted free of charge to any person obtaining a copy", 7),)),
+    ("gpl-2.0", (("licensed under the gnu", 2), " general", (" public license version", 3), " 2")),
+    ("gpl-3.0", (("licensed under the gnu", 2), " general", (" public license version", 3), " 3")),
+    ("gpl", (("you can redistribute it and or modify it under the terms of the gnu", 6), " general")),
+    ("lgpl", (("licensed under the gnu", 2), " lesser", (" general public license", 3))),
+    ("agpl", (("licensed under the gnu", 2), " affero", (" general public license", 3))),
+    *_CC,
+    ("cc0-1.0", ("cc0 1 0", (" universal public domain dedication", 4))),
+    ("bsd", (("redistribution and use in source and binary forms with or without modification", 7),)),
+    ("mpl-2.0", (("subject to the terms of the mozilla public license v", 5), " 2 0")),
+    ("isc", (("permission to use copy modify and or distribute this software for any purpose", 7),)),
+    ("unlicense", (("this is free and unencumbered software released into the public domain", 7),)),
+    ("all-rights-reserved", (("all rights reserved", 1),)),
 )
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_SPACE = np.uint8(32)
 SCHEMA = ("n_words long, base array<struct<label:string,word:long>>, "
           "spans array<struct<label:string,first_word:long,last_word:long,errors:int,score:double>>")
 
 
+def pattern(segments) -> str:
+    """The bounded-error expression of a notice; it starts and ends at words' edges."""
+    out = ""
+    for x in segments:
+        text, k = (x, 0) if isinstance(x, str) else x
+        text = regex.escape(text, literal_spaces=True)
+        out += f"(?:{text}){{e<={k}}}" if k else text
+    return rf"(?e)(?<![^ ]){out}(?![^ ])"
+
+
 class Notices:
     def __init__(self, notices=NOTICES, base=BASE) -> None:
-        self.notices, self.base = notices, [(f" {p} ", label) for p, label in base.items()]
-        self.pattern = [regex.compile(rf"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}") for _, text, k in notices]
+        self.base = [(f" {p} ", label) for p, label in base.items()]
+        # label, text without errors, errors in all
+        self.notices = [(label, "".join(x if isinstance(x, str) else x[0] for x in s), sum(0 if isinstance(x, str) else x[1] for x in s)) for label, s in notices]
+        self.pattern = [regex.compile(pattern(s)) for _, s in notices]
         where: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, text, k) in enumerate(notices):
+        for n, (_, text, k) in enumerate(self.notices):
             for j in range(k + 1):
                 a, b = j * len(text) // (k + 1), (j + 1) * len(text) // (k + 1)
                 where.setdefault(text[a:b], []).append((n, a))
@@ -60,36 +78,47 @@ class Notices:
             self.seeds.add_word(piece, (len(piece), at))
         self.seeds.make_automaton()
 
+    def _spans(self, line: str) -> list[tuple[int, int, int, int]]:
+        """(first character, last + 1, notice, errors) of all notices, each from left to right."""
+        done = [0] * len(self.notices)  # how far each notice's matches, and windows without one, reach
+        tried: list[tuple[int, int]] = [(0, 0)] * len(self.notices)
+        out = []
+        for end, (size, uses) in self.seeds.iter(line):
+            for n, a in uses:
+                _, notice, k = self.notices[n]
+                begin = end + 1 - size - a
+                low, high = max(done[n], begin - k - 1), min(begin + len(notice) + k + 1, len(line))
+                if high - low < len(notice) - k or tried[n][0] <= low and high <= tried[n][1]:
+                    continue
+                tried[n] = low, high
+                # One character more on each side, so that the edges of words are seen.
+                for m in self.pattern[n].finditer(line, low, min(high + 1, len(line))):
+                    out.append((m.start(), m.end(), n, sum(m.fuzzy_counts)))
+                    done[n] = m.end()
+        return out
+
     def find(self, text: bytes) -> tuple[int, list[dict], list[dict]]:
         """(words, exact phrases, fuzzy spans) of a text."""
         words = _WORD.findall(text.lower())
-        line = b" ".join(words).decode("latin-1")
+        raw = b" ".join(words)
+        line = raw.decode("latin-1")
+        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == _SPACE)
+        word = lambda at: int(np.searchsorted(spaces, at))  # noqa: E731  the number of the word at a place of the line
         padded = f" {line} "
         base = []
         for phrase, label in self.base:
             at = padded.find(phrase)
             while at >= 0:
-                base.append({"label": label, "word": padded.count(" ", 0, at)})
+                base.append({"label": label, "word": word(at)})
                 at = padded.find(phrase, at + 1)
-        near: dict[int, list[list[int]]] = {}
-        for end, (size, uses) in self.seeds.iter(line):
-            for n, a in uses:
-                _, notice, k = self.notices[n]
-                begin = end + 1 - size - a
-                low, high = max(0, begin - k), begin + len(notice) + k
-                have = near.setdefault(n, [])
-                if have and low <= have[-1][1]:
-                    have[-1][0], have[-1][1] = min(low, have[-1][0]), max(high, have[-1][1])
-                else:
-                    have.append([low, high])
-        spans = []
-        for n, windows in near.items():
+        spans, taken = [], []
+        for s, e, n, errors in sorted(self._spans(line), key=lambda x: (x[3] / len(self.notices[x[2]][1]), x[0] - x[1], self.notices[x[2]][0])):
+            at = bisect.bisect_left(taken, (s, e))
+            if at < len(taken) and taken[at][0] < e or at and taken[at - 1][1] > s:
+                continue
+            taken.insert(at, (s, e))
             label, notice, _ = self.notices[n]
-            for low, high in windows:
-                for m in self.pattern[n].finditer(line, low, min(high, len(line))):
-                    if m.end() > m.start():
-                        e = sum(m.fuzzy_counts)
-                        spans.append({"label": label, "first_word": line.count(" ", 0, m.start()), "last_word": line.count(" ", 0, m.end()), "errors": e, "score": 1 - e / len(notice)})
+            spans.append({"label": label, "first_word": word(s), "last_word": word(e), "errors": errors, "score": 1 - errors / len(notice)})
         return len(words), sorted(base, key=lambda x: (x["word"], x["label"])), sorted(spans, key=lambda x: (x["first_word"], x["label"]))
 
 

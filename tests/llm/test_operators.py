@@ -98,10 +98,56 @@ def test_licenses(docs, empty):
     n, base, spans = licenses.Notices().find(b"Licenced under teh Apache License, Version 2.0 and MIT License mit license")
     assert [(b["label"], b["word"]) for b in base] == [("apache", 3), ("mit", 9), ("mit", 11)] and ("apache-2.0", 3) in [(s["label"], s["errors"]) for s in spans]
     _, _, spans = licenses.Notices().find(b"released under teh MIT license and then x released under the MIT license")
-    assert [(s["first_word"], s["errors"]) for s in spans if s["label"] == "mit"] == [(0, 2), (8, 0)]
+    assert [(s["first_word"], s["last_word"], s["errors"]) for s in spans if s["label"] == "mit"] == [(0, 4, 2), (8, 12, 0)]
+    for text, want in {"Licensed under CC BY-SA 4.0": ["cc-by-sa-4.0"], "licensed under cc by nd 4.0.": ["cc-by-nd-4.0"], "Licensed under CC BY 3.0": [], "lisensed under CC BY 4.0": ["cc-by-4.0"],
+                       "Licensed under the GNU General Public License version 2": ["gpl-2.0"], "Licensed under the Apache License, Version 1.1": [],
+                       "licensed under the gnu lesser general public license version 3": ["lgpl"], "licensed under the gnu general public licence, version 3": ["gpl-3.0"],
+                       "Licensed under CC BY-NC 4.0 ": ["cc-by-nc-4.0"], "released under the bit license": []}.items():
+        assert [s["label"] for s in licenses.Notices().find(text.encode())[2]] == want, text
     assert licenses.scan(empty).count() == 0
 
 
+def _edited(t):
+    t = list(t)
+    for _ in range(R.randint(0, 5)):
+        i = R.randrange(len(t))
+        t[i : i + R.randint(0, 1)] = R.choice(["x", " ", "", "é", "ab"])
+    return "".join(t)
+
+
+def test_licenses_brute_force():
+    """Each notice against its expression over the whole line, without seeds; exact phrases against every word."""
+    import regex
+
+    every = licenses.Notices()
+    whole = ["".join(x if isinstance(x, str) else x[0] for x in s) for _, s in licenses.NOTICES]
+    for _ in range(150):
+        text = " ".join(R.choice([lambda: _edited(R.choice(whole)), lambda: prose(R.randint(1, 12)), lambda: R.choice(["MIT license", "apache  License", "general public license"])])() for _ in range(6))
+        w = words(text)
+        n, base, _ = every.find(text.encode())
+        want = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert n == len(w) and [(b["word"], b["label"]) for b in base] == sorted(want)
+        line = " ".join(w).encode().decode("latin-1")
+        got = every._spans(line)
+        for k, (_, s) in enumerate(licenses.NOTICES):
+            found = [m.span() for m in regex.finditer(licenses.pattern(s), line)]
+            mine = [x[:2] for x in got if x[2] == k]
+            assert len(found) == len(mine) and all(a[0] < b[1] and b[0] < a[1] for a, b in zip(found, mine, strict=True)), (line, k)
+
+
+def test_licenses_long_texts():
+    """Time grows with the length of a text of phrases."""
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        text = b"released under the mit license and licensed under cc by 4 0 " * n
+        began = time.perf_counter()
+        assert len(licenses.Notices().find(text)[2]) == 2 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_warc(spark):
     page = "<html><head><title> A &amp; B </title><script>no()</script></head><body><p>x<br>y <a href='/l?q=1&amp;r=2'>z</a><!-- c --></body>"
     df = spark.createDataFrame([(1, "http://h.test/a/", page), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
@@ -109,11 +155,49 @@ def test_warc(spark):
     got = {r.page_id: r for r in derived.collect()}
     assert got[1].title == "A & B" and got[1].links == ["http://h.test/l?q=1&r=2"] and got[1].text == "x\ny z" and got[1].status == 200
     assert got[2].text == "" and got[2].n_links == 0 and got[1].refers_to == got[1].record_id
-    made = [x for r in warc.records(derived.where("page_id = 1")).collect() for x in warc.parse(bytes(r.record))]
+    made = [(dict(h), b) for r in warc.records(warc.responses_of(df.where("page_id = 1"))).collect() for h, b in warc.parse(bytes(r.record))]
     assert [h["WARC-Type"] for h, _ in made] == ["metadata", "conversion"] and all(h["WARC-Refers-To"] == got[1].record_id for h, _ in made)
     assert all(warc.digest(b) == h["WARC-Block-Digest"] for h, b in made) and made[1][1].decode() == "x\ny z"
 
 
+def test_warc_round_trip(spark, tmp_path):
+    """A file of responses, with repeated headers, a gzip and a chunked body, read, derived, written and parsed again."""
+    import gzip as gz
+    import json
+
+    def response(n, extra, body):
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + extra + b"\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{n}>\r\nWARC-Target-URI: http://h.test/{n}\r\nX-A: 1\r\nX-A: 2\r\nWARC-Date: 2024-01-0{n}T00:00:00Z\r\nContent-Length: {len(http)}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    long = prose(200_000)
+    pages = [response(1, b"Content-Encoding: gzip\r\n", gz.compress(b"<title>t</title><p>zipped")), response(2, b"Transfer-Encoding: chunked\r\n", b"4\r\n<p>a\r\n3\r\n bc\r\n0\r\n\r\n"),
+             response(3, b"", f"<p>{long}".encode()), response(4, b"Content-Encoding: gzip\r\n", b"<p>not zipped"), response(5, b"", b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gz.compress, pages)))
+    (tmp_path / "b.warc").write_bytes(b"".join(pages[:2]))
+    got = warc.records(warc.read(spark, str(tmp_path))).sort("uri", "kind").collect()
+    texts = [(r.uri[-1], bytes(next(warc.parse(bytes(r.record)))[1]).decode()) for r in got if r.kind == "conversion"]
+    assert texts == [("1", "zipped"), ("1", "zipped"), ("2", "a bc"), ("2", "a bc"), ("3", " ".join(long.split())), ("4", "not zipped"), ("5", "")]
+    meta = json.loads(next(warc.parse(bytes(got[1].record)))[1]) if got[1].kind == "metadata" else json.loads(next(warc.parse(bytes(got[2].record)))[1])
+    assert meta["Envelope"]["WARC-Header-Metadata"]["X-A"] == ["1", "2"] and meta["Envelope"]["WARC-Header-Metadata"]["WARC-Type"] == "response"
+    assert all(r.refers_to == f"<urn:x:{r.uri[-1]}>" for r in got) and len({r.derived_id for r in got}) == 10
+
+
+def test_warc_query(spark):
+    """The query over all pages of the smallest tables, against digests and links worked out from the records alone."""
+    got = warc.op3(spark, "/root/testdata/sf0.001").collect()
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    assert sorted((r.page_id, r.kind) for r in got) == sorted((p.page_id, k) for p in pages for k in ("conversion", "metadata"))
+    url = {p.page_id: p.url for p in pages}
+    for r in got:
+        (h, block), = warc.parse(bytes(r.record))
+        h = dict(h)
+        assert h["WARC-Refers-To"] == r.refers_to and h["WARC-Target-URI"] == url[r.page_id] and h["WARC-Block-Digest"] == r.block_digest == warc.digest(block)
+        assert r.kind == "metadata" or b"<p" not in block and b"<div" not in block
+    empty = warc.responses_of(spark.createDataFrame([], "page_id long, url string, html string, kind string"))
+    assert warc.records(empty).count() == 0
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 200])
 def test_decontamination(spark, docs, empty, limit):
     items = [("1", " ".join(BASE.split()[10:40])), ("2", "one"), ("3", ""), ("4", None), ("5", " ".join(BASE.split()[10:20]).upper()), ("6", prose(15))]
@@ -221,6 +305,70 @@ def test_rollups(spark, tmp_path):
     assert s.totals().count() == 0 and s.apply("1", one) and s.apply("2", two) and not s.apply("2", two)
     got = {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in s.totals().collect()}
     assert got == {(None, "en", "v"): (2, 24), ("s", "en", "v"): (2, 22), ("t", "en", "v"): (1, 50)} and s.commits() == ["1", "2"]
+    assert s.apply("3", two.where("false")) and {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in s.totals().collect()} == got
+
+
+def test_rollups_brute_force(spark, tmp_path):
+    """Random batches with null versions and groups, repeats, ties and unknown ops, against a dictionary."""
+    s = rollups.Rollups(spark, f"file://{tmp_path}/r")
+    rng, state = random.Random(8), {}
+    schema = "seq long, op string, doc_id long, version string, source string, lang string, n_tokens long, docs string, gone string"
+    for n in range(4):
+        rows = [(rng.randint(0, 3), rng.choice(["insert", "delete", "revise", "drop", None]), rng.choice([None, *range(12)]), rng.choice([None, "v"]), rng.choice([None, "s", "t"]),
+                 rng.choice([None, "en"]), rng.choice([None, *range(5)]), "x", "y") for _ in range(40)]
+        s.apply(str(n), spark.createDataFrame(rows, schema).repartition(3))
+        low = lambda x: (x is not None, x)
+        best = {}
+        for seq, op, doc, version, source, lang, tokens, *_ in rows:
+            if doc is not None and op in ("insert", "delete", "revise"):
+                c = ((seq, tokens or 0, op, low(source), low(lang)), op, source, lang, tokens or 0)
+                best[doc, version] = max(best.get((doc, version), c), c, key=lambda x: x[0])
+        for k, (_, op, *what) in best.items():
+            state.pop(k, None)
+            if op != "delete":
+                state[k] = tuple(what)
+        want = {}
+        for (_, version), (source, lang, tokens) in state.items():
+            d, t = want.get((source, lang, version), (0, 0))
+            want[source, lang, version] = d + 1, t + tokens
+        assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in s.totals().collect()} == want
+        assert {(r.doc_id, r.version): (r.source, r.lang, r.n_tokens) for r in s.ledger().collect()} == state
+
+
+def test_rollups_two_writers(spark, tmp_path):
+    """A writer that commits while another one works: the other fails, loses nothing and succeeds again."""
+    row = "seq long, op string, doc_id long, version string, source string, lang string, n_tokens long"
+    first, second = (rollups.Rollups(spark, f"file://{tmp_path}/r") for _ in range(2))
+    batch = lambda i: spark.createDataFrame([(0, "insert", i, "v", "s", "en", 1), (0, "insert", 9, "v", "s", "en", i)], row)
+    assert first.apply("0", batch(0))
+    mark = second._mark
+    second._mark = lambda *a: (first.apply("1", batch(1)), mark(*a))
+    with pytest.raises(RuntimeError):
+        second.apply("2", batch(2))
+    second._mark = mark
+    assert second.apply("2", batch(2)) and first.commits() == ["0", "1", "2"]
+    assert [(r.docs, r.tokens) for r in first.totals().collect()] == [(4, 5)] and sorted(r.doc_id for r in first.ledger().collect()) == [0, 1, 2, 9]
+    open(f"{tmp_path}/r/commits/000000003", "w").close()
+    with pytest.raises(RuntimeError):
+        first.apply("3", batch(3))
+    first.recover()
+    assert first.apply("3", batch(3))
+
+
+def test_rollups_query(spark):
+    """The query against counts of tiktoken and a plain recount."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    encode = rollups._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
+    groups, want = {}, {}
+    for d in docs:
+        groups.setdefault(d.text or "", []).append(d)
+    for t, same in groups.items():
+        d = min(same, key=lambda x: x.doc_id)
+        n, k = want.get((d.source, d.lang), (0, 0))
+        want[d.source, d.lang] = n + 1, k + len(encode(t)) + (len(same) > 1)
+    got = {(r.source, r.lang): (r.docs, r.tokens) for r in rollups.op8(spark, sf).collect()}
+    assert got == want
 
 
 def test_tokens(spark):
