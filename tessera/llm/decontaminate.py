@@ -5,9 +5,10 @@ words.  The shift table tells how far the search may jump; where it says 0, the
 block selects windows, and their words are compared directly, as hashes and then as bytes.
 All texts of a step are searched in lockstep, each text as lanes of bounded length.
 
-Windows are held in bounded chunks of benchmark text (``CHUNK_BYTES``); a larger benchmark is
-searched in several passes that carry the runs found so far, so nothing is dropped and memory does
-not grow.  No shuffle.
+The benchmark is the small side: its texts pass through the driver in chunks of at most ``CHUNK_BYTES``, one at a time, and reach
+each executor by broadcast, where the tables are built.  A benchmark of several chunks is searched in as many passes over
+the documents, which carry the runs found so far, so nothing is dropped and a task's tables stay bounded; the passes, and the chunks
+that an executor keeps, grow with the benchmark's size.  No shuffle.
 
 Defined results: null or empty text, or text without words: no words, no hits; items without words
 match nothing; items with equal windows are all reported; those of items with a null id are hit, but not named; repeated rows stay; an empty benchmark
@@ -108,15 +109,20 @@ class Windows:
                 self.items.setdefault(m, {}).setdefault(start, set()).add(k)
         self.searches = [WuManber(self.words, np.array(sorted(x.values())), m) for m, x in sorted(by.items())]
 
-    def __call__(self, w: lanes.Words) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """(first word, last word + 1) of each occurrence, and (word, item) pairs."""
-        runs, owned = [], []
+    def __call__(self, w: lanes.Words) -> tuple[list[tuple[int, int]], list[set[int]]]:
+        """(first word, last word + 1) of each occurrence, and the items found in each text.  A text's window is looked up
+        in the items once, however often it occurs there."""
+        runs, seen = [], set()
+        owned: list[set[int]] = [set() for _ in range(len(w.first) - 1)]
         for s in self.searches:
             at, window = s.search(w.hash, w.first)
-            for p, q in zip(at.tolist(), window.tolist(), strict=True):
+            text = np.searchsorted(w.first, at, "right") - 1
+            for p, q, d in zip(at.tolist(), window.tolist(), text.tolist(), strict=True):
                 if all(w.data[w.start[p + j] : w.end[p + j]].tobytes() == self.text[q + j] for j in range(s.m)):
                     runs.append((p, p + s.m))
-                    owned += [(p, k) for k in self.items[s.m][q]]
+                    if (d, s.m, q) not in seen:
+                        seen.add((d, s.m, q))
+                        owned[d] |= self.items[s.m][q]
         return runs, owned
 
 
@@ -141,14 +147,18 @@ def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
             T.StructField("runs", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     schema = T.StructType(fields + more)
+    spark = documents.sparkSession
     for number, items in enumerate(chunks(benchmark, item, item_text, limit)):
-        out = out.mapInArrow(tidy(_pass(Windows(items, window), len(keep), number > 0, schema.names)), schema)
+        held = spark.sparkContext.broadcast(items)  # at most about ``limit`` bytes
+        out = out.mapInArrow(tidy(_pass(held, window, len(keep), number > 0, schema.names)), schema)
     return out
 
 
-def _pass(windows: Windows, at: int, again: bool, names: list[str]):
+def _pass(items, window: int, at: int, again: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = None
         for b in batches:
+            windows = windows or Windows(items.value, window)
             for i, j, data, offs in lanes.steps(b.column(at)):
                 part = b.slice(i, j - i)
                 w = lanes.Words(data, offs, lanes.ALNUM)
@@ -165,9 +175,8 @@ def _pass(windows: Windows, at: int, again: bool, names: list[str]):
                             mark[f + e] -= 1
                 hit = np.cumsum(mark)[:-1] > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
-                for p, k in owned:
-                    if windows.names[k] is not None:  # such an item's words are hit, but it has no name to give
-                        had[int(np.searchsorted(w.first, p, "right")) - 1].add(windows.names[k])
+                for d, found in enumerate(owned):  # an item without a name is hit, but cannot be given
+                    had[d].update(windows.names[k] for k in found if windows.names[k] is not None)
                 out_runs = []
                 n_hit = total[w.first[1:]] - total[w.first[:-1]]
                 for f, l, n in zip(w.first[:-1].tolist(), w.first[1:].tolist(), n_hit.tolist(), strict=True):
