@@ -7,7 +7,7 @@ end at each character; following the table from the end gives the ids.  The libr
 the vocabulary file.
 
 Entries never hold a word mark after another character, so a text falls apart before each run of marks, and each
-distinct part is encoded once and remembered (the memory is bounded and only saves time).  If a
+distinct part of up to ``LONGEST`` characters is encoded once and remembered (at most ``REMEMBERED``; this only saves time).  If a
 vocabulary does hold such entries, whole texts are encoded.
 
 Defined results: null or empty text: only the begin and end ids; characters outside the vocabulary:
@@ -33,9 +33,11 @@ from pyspark.sql import types as T
 from tessera.llm.shared import HELD, tidy
 
 MARK = "▁"
-#: Parts of texts, and pairs of tokens, that a worker remembers.
-REMEMBERED = 300_000
+#: Parts of texts that a worker remembers, the longest of them (characters), and pairs of tokens: about 100 MB in all.
+REMEMBERED, LONGEST = 200_000, 48
 PAIRS = 400_000
+#: Texts whose normal form shows whether a vocabulary is read as here: spaces become marks, one mark comes first, all else stays.
+PROBES = ("", "a", " a  b ", "\ta\n", "Å ﬁ ① Ａ é", "▁a", "A")
 
 
 class PrefixTable:
@@ -43,6 +45,9 @@ class PrefixTable:
 
     def __init__(self, model_path: str) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        for text in PROBES:
+            if sp.normalize(text) != (MARK + text.replace(" ", MARK) if text else ""):
+                raise ValueError(f"{model_path}: its normaliser changes {text!r}; only vocabularies with a first mark and no other normal form are read")
         n = sp.get_piece_size()
         self.begin, self.end, self.unknown = sp.bos_id(), sp.eos_id(), sp.unk_id()
         self.byte_id: dict[int, int] = {}
@@ -176,12 +181,14 @@ class PrefixTable:
         return out
 
     def _remember(self, part: str) -> tuple[bytes, bytes]:
-        if len(self.encoded) >= REMEMBERED:
-            self.encoded.clear()
         ids = self.part_ids(part)
         plain = self.plain
         back = b"".join([plain[i] for i in ids]) if not self.special.intersection(ids) else self._surface(ids)
-        got = self.encoded[part] = np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes(), back
+        got = np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes(), back
+        if len(part) <= LONGEST:
+            if len(self.encoded) >= REMEMBERED:
+                self.encoded.clear()
+            self.encoded[part] = got
         return got
 
     def _surface(self, ids: list[int]) -> bytes:
