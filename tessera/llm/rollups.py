@@ -1,30 +1,37 @@
 """Delta-maintained token counts by source, language and tokenizer version.
 
-A store holds a ledger (what each document counts for now) and, for each committed batch, signed additive
-totals.  A batch of inserts, deletes and revised counts is joined with the ledger, so that a delete takes off just
-what was added and a revision adds the difference; totals are sums over committed batches only.  A batch is
-written under its own name and takes effect by one atomic creation of its marker, after which the same batch is a
-no-op; a batch that fails before that leaves nothing that counts.
+A store is a log of committed batches.  Each batch holds its entries (what each changed document counts for from then on, or that it is
+gone) and signed additive totals.  A batch of inserts, deletes and revised counts is joined with the latest earlier entries
+of the documents it names, so that a delete takes off just what was added and a revision adds the difference; totals are
+sums over committed batches only.  A batch writes as much as it changes; nothing else is written again.
+
+A batch is written under a name of its own and takes effect by the exclusive creation of the marker with the next number,
+which names it.  Of two writers that saw the same log one creates the marker and the other fails with nothing changed; the
+same batch again is a no-op; a batch that fails before its marker leaves nothing that counts.  A marker that stays empty (its
+writer died while it wrote a few bytes) stops later batches until ``recover`` takes it away.
 
 Defined results: of several changes to one document and version in a batch the one with the highest sequence number
-holds (ties: the larger count); deleting what is not there, or a null id, changes nothing; an insert of a known document is a
-revision; null source or lang is a group of its own; groups that fall to zero documents are not reported.
+holds (ties: the larger count, then the greater op); deleting what is not there, a null id, and an op other than insert, delete and revise change
+nothing; an insert of a known document is a revision, a revision of an unknown one an insert; a null count is 0; null source, lang or version is a
+group of its own; an empty batch commits with empty totals; groups that fall to zero documents are not reported; other columns of the changes are not used.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tessera.llm.shared import shared_dir
 
 _LEDGER = "doc_id long, version string, source string, lang string, n_tokens long"
+_ENTRY = f"{_LEDGER}, gone boolean, number long"
 _DELTA = "source string, lang string, version string, docs long, tokens long"
 _encodings: dict[str, object] = {}
 
@@ -63,64 +70,105 @@ class Rollups:
         self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def commits(self) -> list[str]:
-        """Names of committed batches, in order of commit."""
+    def _markers(self) -> list[dict]:
         d = self._at(f"{self.path}/commits")
         if not self._fs.exists(d):
             return []
-        names = [x.getPath().getName() for x in self._fs.listStatus(d)]
-        return [n.partition("-")[2] for n in sorted(names) if n[:1] != "."]
+        out = []
+        for name in sorted(x.getPath().getName() for x in self._fs.listStatus(d)):
+            if name[:1] == ".":
+                continue
+            stream = self._fs.open(self._at(f"{self.path}/commits/{name}"))
+            try:
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if not text:
+                raise RuntimeError(f"marker {name} is empty: another writer commits now, or died; see recover()")
+            out.append(json.loads(text))
+        return out
+
+    def recover(self) -> None:
+        """Takes an empty last marker away; only for when its writer is known to be dead."""
+        d = self._at(f"{self.path}/commits")
+        for x in self._fs.listStatus(d) if self._fs.exists(d) else ():
+            if not x.getLen() and x.getPath().getName()[:1] != ".":
+                self._fs.delete(x.getPath(), False)
+
+    def _mark(self, number: int, batch: str, folder: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        try:
+            out = self._fs.create(self._at(f"{self.path}/commits/{number:09d}"), False)  # fails where the number is taken
+        except Exception as e:
+            if self._fs.exists(self._at(f"{self.path}/commits/{number:09d}")):
+                raise RuntimeError(f"batch {batch}: another writer committed at the same time") from e
+            raise
+        try:
+            jvm.org.apache.commons.io.IOUtils.write(json.dumps({"batch": batch, "folder": folder}), out, "UTF-8")
+        finally:
+            out.close()
+
+    def commits(self) -> list[str]:
+        """Names of committed batches, in order of commit."""
+        return [m["batch"] for m in self._markers()]
+
+    def _entries(self, markers: list[dict]) -> DataFrame:
+        if not markers:
+            return self.spark.createDataFrame([], _ENTRY)
+        return self.spark.read.schema(_ENTRY).parquet(*[f"{self.path}/batches/{m['folder']}/entries" for m in markers])
+
+    @staticmethod
+    def _latest(entries: DataFrame) -> DataFrame:
+        last = F.max(F.struct("number", "gone", "source", "lang", "n_tokens")).alias("e")
+        return entries.groupBy("doc_id", "version").agg(last).where("not e.gone").select("doc_id", "version", "e.source", "e.lang", "e.n_tokens")
 
     def ledger(self) -> DataFrame:
-        done = self.commits()
-        if not done:
-            return self.spark.createDataFrame([], _LEDGER)
-        return self.spark.read.schema(_LEDGER).parquet(f"{self.path}/batches/{done[-1]}/ledger")
+        """What each document counts for now."""
+        return self._latest(self._entries(self._markers()))
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit changes (seq long, op 'insert', 'delete' or 'revise', doc_id, version, source, lang, n_tokens); False if
-        the batch was committed before.  One writer at a time."""
-        done = self.commits()
-        if batch in done:
+        the batch was committed before.  Raises RuntimeError if another writer commits meanwhile: apply it again then."""
+        done = self._markers()
+        if any(m["batch"] == batch for m in done):
             return False
-        one = (changes.where("doc_id is not null")
-               .select("doc_id", "version", F.struct("seq", "n_tokens", "op", F.col("source").alias("s"), F.col("lang").alias("l")).alias("c"))
-               .groupBy("doc_id", "version").agg(F.max("c").alias("c")))
-        old = self.ledger().select("doc_id", "version", F.struct("source", "lang", "n_tokens").alias("o"))
-        both = old.join(one, ["doc_id", "version"], "full_outer")
+        number = len(done)
+        one = (changes.where("doc_id is not null and op in ('insert', 'delete', 'revise')")
+               .select(F.col("doc_id").cast("long").alias("i"), F.col("version").alias("v"), F.struct(
+                   "seq", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens"), "op", "source", "lang").alias("c"))
+               .groupBy("i", "v").agg(F.max("c").alias("c")))
+        same = lambda d: (d["doc_id"] == one["i"]) & d["version"].eqNullSafe(one["v"])
+        past = self._entries(done)
+        old = self._latest(past.join(one, same(past), "left_semi")).select("doc_id", "version", F.struct("source", "lang", "n_tokens").alias("o"))
         gone = F.col("c.op") == "delete"
-        new = F.when(F.col("c").isNull(), F.col("o")).when(gone, F.lit(None)).otherwise(
-            F.struct(F.col("c.s").alias("source"), F.col("c.l").alias("lang"), F.col("c.n_tokens").alias("n_tokens")))
-        both = both.select("doc_id", "version", "o", new.alias("n"), F.col("c").isNotNull().alias("changed"))
-        base = f"{self.path}/batches/{batch}"
-        both.write.mode("overwrite").parquet(f"{base}/joined")
-        both = self.spark.read.parquet(f"{base}/joined")
-        both.where("n is not null").select("doc_id", "version", "n.source", "n.lang", "n.n_tokens").write.mode("overwrite").parquet(f"{base}/ledger")
-        signed = both.where("changed").select("version", F.explode(F.array(
-            F.struct(F.col("o").alias("v"), F.lit(-1).alias("sign")), F.struct(F.col("n").alias("v"), F.lit(1).alias("sign")))).alias("x")).where("x.v is not null")
-        (signed.groupBy("x.v.source", "x.v.lang", "version").agg(F.sum("x.sign").alias("docs"), F.sum(F.col("x.v.n_tokens") * F.col("x.sign")).alias("tokens"))
-         .select("source", "lang", "version", "docs", "tokens").write.mode("overwrite").parquet(f"{base}/delta"))
+        new = F.when(~gone, F.struct("c.source", "c.lang", "c.n_tokens"))
+        both = one.join(old, same(old), "left").where(F.col("o").isNotNull() | ~gone).select("i", "v", "o", new.alias("n"), gone.alias("gone"))
+        folder = f"{number:09d}-{uuid.uuid4().hex}"
+        base = f"{self.path}/batches/{folder}"
+        both.write.parquet(f"{base}/joined")
+        both = self.spark.read.schema(both.schema).parquet(f"{base}/joined")
+        both.select(F.col("i").alias("doc_id"), F.col("v").alias("version"), "n.source", "n.lang", "n.n_tokens", "gone", F.lit(number).cast("long").alias("number")).write.parquet(f"{base}/entries")
+        signed = both.select("v", F.explode(F.array(
+            F.struct(F.col("o").alias("x"), F.lit(-1).alias("sign")), F.struct(F.col("n").alias("x"), F.lit(1).alias("sign")))).alias("y")).where("y.x is not null")
+        (signed.groupBy("y.x.source", "y.x.lang", "v").agg(F.sum("y.sign").alias("docs"), F.sum(F.col("y.x.n_tokens") * F.col("y.sign")).alias("tokens"))
+         .select("source", "lang", F.col("v").alias("version"), "docs", "tokens").write.parquet(f"{base}/delta"))
         self._fs.delete(self._at(f"{base}/joined"), True)
         self._fs.mkdirs(self._at(f"{self.path}/commits"))
-        # The marker's number is the place in the order; creation fails if another writer took the place.
-        if not self._fs.createNewFile(self._at(f"{self.path}/commits/{len(done):09d}-{batch}")):
-            raise RuntimeError(f"batch {batch}: another writer committed at the same time")
+        self._mark(number, batch, folder)
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs long, tokens long of all committed batches."""
-        done = self.commits()
+        done = self._markers()
         if not done:
             return self.spark.createDataFrame([], _DELTA)
-        deltas = self.spark.read.schema(_DELTA).parquet(*[f"{self.path}/batches/{b}/delta" for b in done])
+        deltas = self.spark.read.schema(_DELTA).parquet(*[f"{self.path}/batches/{m['folder']}/delta" for m in done])
         return deltas.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """All documents inserted (twice, to no further effect), then exact copies deleted and the counts of
     the documents that have copies revised by the begin token they get as representatives."""
-    import uuid
-
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
