@@ -6,7 +6,7 @@ x can have partners at home in the cell of pivot p only if (d(x,p)^2 - d(x,h)^2)
 is its own pivot, and only if d(x,p) is within r of the distances that the cell's members have.  So x is
 sent to these cells only, and every cell joins independently.
 
-A cell's members are cut into blocks of at most ``BLOCK`` vectors and its visitors into salted runs, so that a
+A cell's members are cut into blocks of at most ``BLOCK`` bytes and its visitors into salted runs, so that a
 task never holds a whole cell; tasks give sums of links and stars of linked vectors, never all
 pairs.  Only cells' sizes and radii (a row for each pivot) reach the driver.
 
@@ -15,7 +15,7 @@ excludes little and most vectors visit most cells.
 
 Defined results: null or zero vectors, and those with null or non-finite components, link with nothing; so do
 vectors of different lengths; equal vectors link; repeated ids count as vectors of their own in n_links, and
-share a component; a null id links with nothing; an empty table gives an empty table.
+share a component; a null id links with nothing; an empty table gives an empty table; other columns are not passed on.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import components, forest, stage, tidy
 
-#: Vectors for each pivot, bounds of the number of pivots, members of a block and visitors of a run.
+#: Vectors for each pivot, bounds of the number of pivots, bytes of the members of a block and visitors of a run.
 PER_PIVOT, PIVOTS = 4096, (8, 1024)
-BLOCK, RUN = 2048, 8192
+BLOCK, RUN = 8 << 20, 8192
 _SLACK = 1e-6
 #: Smallest distance of two pivots.  Rounding errs by some 1e-15 in squared distances, and the inequality divides it by
 #: d(p,h) and d(p,h)^2: pivots this far apart keep the quotient's error well below ``_SLACK``.
@@ -120,7 +120,7 @@ def _visits(pivots: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[in
                     own = np.asarray(part.column(5))
                     go = (home == p) | (((at**2 - own**2) / (2 * between[max(p, 0), np.maximum(home, 0)]) <= r + _SLACK) & (at <= high + r + _SLACK) & (at >= low - r - _SLACK))
                     who = mine[go]
-                    blocks, runs = -(-size // BLOCK), -(-(size * 4) // RUN)
+                    blocks, runs = -(-size // max(256, BLOCK // (8 * d))), -(-(size * 4) // RUN)
                     for k in range(blocks):
                         rows.append(who), cell.append(np.full(len(who), p)), block.append(np.full(len(who), k))
                         run_.append(salt[who] % runs), member.append(np.zeros(len(who), bool))
@@ -167,21 +167,23 @@ def _join(c: float):
                 if m is None:
                     m, ids, places = np.concatenate(members), np.concatenate(mid), np.concatenate(mplace)
                     m32 = m.astype(np.float32)
-                for k in range(0, len(x), 1024):
-                    y = x[k : k + 1024]
-                    a, e = np.nonzero(y.astype(np.float32) @ m32.T >= np.float32(c - 1e-5))
+                slack = (now[0] + 8) * 2.0**-23  # more than single precision errs on unit vectors of this length
+                step = max(16, (1 << 21) // len(m))
+                for k in range(0, len(x), step):
+                    y = x[k : k + step]
+                    a, e = np.nonzero(y.astype(np.float32) @ m32.T >= np.float32(c - slack))
                     real = np.concatenate([np.einsum("ij,ij->i", y[a[s : s + 65536]], m[e[s : s + 65536]]) >= c for s in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
                     a, e = a[real], e[real]
-                    other = pplace[k : k + 1024][a] != places[e]
+                    other = pplace[k : k + step][a] != places[e]
                     a, e = a[other], e[other]
                     if not len(a):
                         continue
                     n = np.bincount(a, minlength=len(y))
                     has = np.flatnonzero(n)
-                    node, root = forest(pid[k : k + 1024][a], ids[e])
+                    node, root = forest(pid[k : k + step][a], ids[e])
                     far = node != root
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate([pid[k : k + 1024][has], node[far]])), pa.array(np.concatenate([pplace[k : k + 1024][has], np.zeros(far.sum(), np.int64)])),
+                        pa.array(np.concatenate([pid[k : k + step][has], node[far]])), pa.array(np.concatenate([pplace[k : k + step][has], np.zeros(far.sum(), np.int64)])),
                         pa.array(np.concatenate([n[has], np.zeros(far.sum(), np.int64)])), pa.array(np.concatenate([np.zeros(len(has), np.int64), root[far]])),
                         pa.array(np.concatenate([np.zeros(len(has), bool), np.ones(far.sum(), bool)]))], ["id", "place", "n", "far", "star"])
 
