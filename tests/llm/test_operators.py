@@ -236,6 +236,44 @@ def test_quality(spark):
     assert quality.score(docs, quality.learn(docs, labels.where("false"))).where("score <> 0.5").count() == 0
 
 
+def test_quality_statistics(spark):
+    """Statistics against counts in Python, on nulls, empty, long and odd texts, with clashing columns and repeats."""
+    texts = [*TEXTS, "ABC XYZ 0123456789 [x](y) {z} <a> #$%&*+/@~^_ !? |", "Z" * 50_000 + " 9" * 50_000, "a\n\na b"]
+    rows = [(i, t, "s", 1.0) for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    stats = quality.statistics("text")
+    for r in df.select("text", *[c.alias(k) for k, c in stats.items()]).collect():
+        t = r.text or ""
+        n, w, lines = max(len(t), 1), t.split(" "), t.split("\n")
+        share = lambda p: len(re.findall(p, t)) / n
+        want = {"log_words": np.log(len(w)), "word_length": len(t) / len(w), "distinct_words": len(set(w)) / len(w), "distinct_lines": len(set(lines)) / len(lines),
+                "words_a_line": np.log1p(len(w) / len(lines)), "capitals": share("[A-Z]"), "digits": share("[0-9]"), "marks": share("[!?]"), "symbols": share(r"[#$%&*+/@~^_]"),
+                "brackets": share(r"[<>{}=()\[\]]"), "bars": share(r"\|"), "stops": share("[.,]"), "beyond_ascii": (len(t.encode()) - len(t)) / n}
+        for k in stats:
+            assert abs(r[k] - (want[k] if t else 0)) < 1e-9, (k, t[:40])
+    model = (0.1, [(((0, 1.5, True),), 0.7), (((5, 0.01, False), (6, 0.5, True)), -2.0)])
+    names = list(stats)
+    got = quality.score(df, model).withColumn("a", stats[names[0]]).withColumn("b", stats[names[5]]).withColumn("c", stats[names[6]]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        x = 0.1 + 0.7 * (r.a > 1.5) - 2.0 * (r.b <= 0.01 and r.c > 0.5)
+        assert abs(r.score - 1 / (1 + np.exp(-x))) < 1e-12
+    assert quality.accepted(df, model, 0.6).count() == sum(r.score >= 0.6 for r in got) and quality.score(df.where("false"), model).count() == 0
+
+
+def test_quality_query(spark):
+    """Every document once, held out by its checksum, and held-out labels told apart better than by their rate."""
+    import zlib
+
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in quality.op5(spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for i, r in got.items())
+    labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None and got[r.doc_id].held_out]
+    right = np.mean([got[r.doc_id].predicted == r.quality for r in labels])
+    assert right > 0.95, right
+
+
 @pytest.mark.parametrize(("length", "array", "piece"), [(60, None, None), (60, 1, 4), (60, 400, 16), (400, None, None), (400, 2000, None)])
 def test_suffix_dedup(docs, empty, length, array, piece):
     """Against the set of all windows; small arrays cut hot runs into pieces, and hot pieces into windows."""
@@ -387,6 +425,13 @@ def test_shards(spark, empty):
     per = [sorted(r.slot for r in got if r.shard == k) for k in range(8)]
     sizes = [sum(r.size for r in got if r.shard == k) for k in range(8)]
     assert all(p == list(range(len(p))) for p in per) and max(sizes) - min(sizes) < 0.02 * sum(sizes)
+    import zlib
+
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, []).append(zlib.crc32((t or "").encode()))
+    for r in got:
+        assert r.text_crc32 in text[r.doc_id] and r.law == "bytes"
     assert shards.shard(empty).count() == 0 and [r.slot for r in shards.shard(df.limit(1)).collect()] == [0]
 
 
