@@ -144,7 +144,8 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", id_co
     # A label whose id many rows share could bring more rows than the sample: the first by hash are learnt from.
     rows = (documents.select(F.col(id_col).alias("_id"), F.col(text).alias("_t"))
             .join(F.broadcast(chosen), "_id")  # at most `sample` rows of two numbers
-            .sort(F.xxhash64("_id", "_y", "_t")).limit(sample).select("_id", "_y", *[c.alias(k) for k, c in stats.items()]).collect())
+            .select(F.xxhash64("_id", "_y").alias("_h"), F.xxhash64("_t").alias("_g"), "_id", "_y", *[c.alias(k) for k, c in stats.items()])
+            .sort("_h", "_g").limit(sample).drop("_h", "_g").collect())
     rows.sort(key=lambda r: (r[0], r[1], *r[2:]))
     return fit(np.array([r[2:] for r in rows], float).reshape(len(rows), len(stats)), np.array([r[1] for r in rows], float))
 
