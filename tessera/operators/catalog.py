@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions.text import tails
+from tessera.operators.staging import stage
 
 
 def label() -> Column:
@@ -41,20 +42,36 @@ def adjacency(relations: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def within_allowance(adjacent: DataFrame, rows: int, parts: int = 64) -> DataFrame:
-    """Whole keys in key order until their rows exceed the allowance; the first key that does, and all later ones, go.
-    Counts are summed over at most one row a key; sums run inside ranges of keys first."""
-    counts = adjacent.groupBy("key").agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id())
-    before = ranged.groupBy("part").agg(F.sum("n").alias("pn"))
-    base = before.withColumn("base", F.sum("pn").over(W.orderBy("part")) - F.col("pn")).select("part", "base")  # one row a range
-    run = ranged.withColumn("run", F.sum("n").over(W.partitionBy("part").orderBy("key"))).join(base, "part")
-    return adjacent.join(run.where(F.col("run") + F.col("base") <= rows).select("key"), "key", "left_semi")
+    """The keys before the first one whose rows, summed in key order over either direction alone, exceed the allowance.
+    Counts are one row a key; sums run inside ranges of keys first, so no task orders all keys."""
+    way = lambda d: F.sum((F.col("direction") == d).cast("long"))
+    counts = adjacent.groupBy("key").agg(way("out").alias("o"), way("in").alias("i"))
+    ranged = stage(counts.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id()))
+    before = ranged.groupBy("part").agg(F.sum("o").alias("po"), F.sum("i").alias("pi"))  # one row a range
+    w = W.orderBy("part")
+    base = before.select("part", (F.sum("po").over(w) - F.col("po")).alias("bo"), (F.sum("pi").over(w) - F.col("pi")).alias("bi"))
+    k = W.partitionBy("part").orderBy("key")
+    run = ranged.withColumn("ro", F.sum("o").over(k)).withColumn("ri", F.sum("i").over(k)).join(F.broadcast(base), "part")
+    over = run.where((F.col("ro") + F.col("bo") > rows) | (F.col("ri") + F.col("bi") > rows)).agg(F.min("key").alias("cut"))  # one row
+    return adjacent.join(F.broadcast(over), F.col("cut").isNull() | (F.col("key") < F.col("cut")), "left_semi")
 
 
-def mentions(relations: DataFrame, names: DataFrame) -> DataFrame:
-    """Unresolved relations whose text is a name or ends with it after a dot, each counted once a name."""
-    open_ = relations.where("resolution = 'unresolved'").select("site", F.explode(tails(F.col("text"))).alias("name"))
-    return open_.join(names, "name").groupBy("name").agg(F.countDistinct("site").alias("mentions"))
+def mentions(relations: DataFrame, names: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Unresolved relations whose text is a name or ends with it after ``.`` or ``::``, each counted once a name."""
+    open_ = relations.where("resolution = 'unresolved'")
+    if kinds is not None:
+        open_ = open_.where(F.col("kind").isin(*kinds))
+    return open_.select("site", F.explode(tails(F.col("text"))).alias("name")).join(names, "name").groupBy("name").agg(F.countDistinct("site").alias("mentions"))
+
+
+def entries(entities: DataFrame, blast: DataFrame, keys: DataFrame) -> DataFrame:
+    """Entities of a key set with their blast columns."""
+    return entities_by_key(entities, keys).join(blast, "key", "left")
+
+
+def declarations(entities: DataFrame, paths: DataFrame) -> DataFrame:
+    """Symbols of a set of paths in source order: path, start, the longer first, key."""
+    return entities.where("category = 'symbol'").join(paths, "path", "left_semi").sort("path", "start", F.desc("end"), "key")
 
 
 def violations(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -71,3 +88,18 @@ def link_counts(relations: DataFrame) -> DataFrame:
     """Counts of relations by kind for each label."""
     labels = ["proven", "heuristic", "ambiguous", "unresolved"]
     return relations.withColumn("label", label()).groupBy("kind").pivot("label", labels).count().na.fill(0, labels)
+
+
+def touching(relations: DataFrame, keys: DataFrame) -> DataFrame:
+    """All relations of a key set, resolved or not, with direction; a relation of a key with itself goes out.
+    Two equi-joins, so that either side may be hashed or broadcast."""
+    out = relations.join(keys.select(F.col("key").alias("source")), "source").withColumn("key", F.col("source")).withColumn("direction", F.lit("out"))
+    into = relations.where("target <> source").join(keys.select(F.col("key").alias("target")), "target").withColumn("key", F.col("target")).withColumn("direction", F.lit("in"))
+    return out.unionByName(into)
+
+
+def links(relations: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, kind, direction, proven, heuristic, ambiguous, unresolved): counts of the relations that are no structure."""
+    labels = ["proven", "heuristic", "ambiguous", "unresolved"]
+    near = touching(relations, keys).where(~F.col("kind").isin("contains", "contains_logical", "defines"))
+    return near.withColumn("label", label()).groupBy("key", "kind", "direction").pivot("label", labels).count().na.fill(0, labels)
