@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import text as X
-from tessera.operators import catalog, lexical, spans, walk
+from tessera.operators import catalog, lexical, packing, retrieval, routing, spans, walk
 from tessera.plans import metrics
 from tessera.sources import project as P
+from tessera.sources import worktree
 from tessera.streaming import delta
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,11 +71,20 @@ def units_per_doc(spark, d):
     return P.read(spark, d, "documents").select("doc_id", X.units(F.col("text")).cast("long").alias("units"))
 
 
-@query("SELECT page_id, CASE WHEN url LIKE 'https%' THEN 'python' ELSE 'shell' END AS dialect FROM pages")
+_SUFFIXES = ["py", "pyi", "ts", "mts", "cjs", "jsx", "tsx", "go", "rs", "java", "cs", "phtml", "c", "h", "hxx", "ipp", "bats", "sh", "PY", "txt", "c++"]
+_DIALECTS_SQL = ("('py', 'python'), ('ts', 'typescript'), ('mts', 'typescript'), ('cjs', 'javascript'), ('jsx', 'javascript'), ('tsx', 'tsx'), ('go', 'go'), ('rs', 'rust'), ('java', 'java'), ('cs', 'csharp'), "
+                 "('phtml', 'php'), ('c', 'c'), ('h', 'c'), ('hxx', 'cpp'), ('ipp', 'cpp'), ('bats', 'bash'), ('sh', 'sh'), ('c++', 'cpp')")
+
+
+@query(f"""WITH d(suffix, dialect) AS (VALUES {_DIALECTS_SQL}), f AS (SELECT p_partkey, p_name, {_SUFFIXES}[p_partkey % {len(_SUFFIXES)} + 1] AS suffix FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 AND (dialect IS NULL OR dialect IN ('bash', 'sh')) THEN 'bash' WHEN p_partkey % 7 = 0 AND (dialect IS NULL OR dialect IN ('bash', 'sh')) THEN 'sh' ELSE dialect END AS dialect FROM f LEFT JOIN d USING (suffix)""")
 def dialect_of_path(spark, d):
-    secure = F.col("url").startswith("https")
-    path = F.when(secure, F.concat(F.lit("a/"), F.col("page_id").cast("string"), F.lit(".py"))).otherwise("bin/run")
-    return P.read(spark, d, "pages").select("page_id", X.dialect(path, F.when(secure, "").otherwise("#!/usr/bin/env bash")).alias("dialect"))
+    """Paths of all suffixes, some with a first line that names a shell."""
+    k = F.col("p_partkey")
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (k % len(_SUFFIXES) + 1).cast("int"))
+    text = F.when(k % 5 == 0, "#!/usr/bin/env bash\n").when(k % 7 == 0, "#!/bin/sh\n").otherwise("")
+    path = F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("."), suffix)
+    return P.read(spark, d, "part").select("p_partkey", X.dialect(path, F.concat(text, F.col("p_name"))).alias("dialect"))
 
 
 @query(f"WITH {P.SQL} SELECT digest, min(path) AS path, count(*)::BIGINT AS copies FROM files GROUP BY 1")
@@ -82,24 +92,21 @@ def digest_dedupe(spark, d):
     return P.files(spark, d).groupBy("digest").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
 
 
-@query("SELECT lower(url) AS folded, count(*)::BIGINT AS n, count(DISTINCT url)::BIGINT AS spellings FROM (SELECT url FROM pages UNION ALL SELECT upper(url) FROM pages) GROUP BY 1 HAVING count(DISTINCT url) > 1")
-def case_collisions(spark, d):
-    p = P.read(spark, d, "pages").select("page_id", "url")
-    every = p.select("url").unionByName(p.select(F.upper("url").alias("url")))
-    return every.groupBy(F.lower("url").alias("folded")).agg(F.count("*").alias("n"), F.countDistinct("url").alias("spellings")).where("spellings > 1")
+_SPELLED = "SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand) ELSE p_brand END || '/' || p_type AS path FROM part"
 
 
-_RULES = [(0, "src1%", True), (1, "%/de/%", True), (2, "src1/de/%", False), (3, "src2/en/1%", True)]
-_RULES_SQL = ", ".join(f"({i}, '{p}', {str(x).lower()})" for i, p, x in _RULES)
+@query(f"SELECT lower(path) AS folded, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM ({_SPELLED}) GROUP BY 1 HAVING count(DISTINCT path) > 1")
+def case_collisions(spark, d):
+    brand = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    paths = P.read(spark, d, "part").select(F.concat_ws("/", brand, "p_type").alias("path"))
+    return worktree.collisions(paths).select("folded", F.array_join("paths", ",").alias("paths"))
 
 
-@query(f"WITH {P.SQL}, rules(i, pattern, ignore) AS (VALUES {_RULES_SQL}) SELECT path, coalesce(arg_max(ignore, i), false) AS ignored FROM files LEFT JOIN rules ON path LIKE pattern GROUP BY 1")
+@query(f"WITH {P.SQL} SELECT DISTINCT path, CASE WHEN path LIKE 'src1/de/%' THEN true WHEN path LIKE 'src2/en/12%' THEN false WHEN path LIKE 'src2/en/1%' THEN true WHEN path LIKE '%77.txt' THEN false ELSE path LIKE '%7.txt' END AS ignored FROM files")
 def gitignore_scope(spark, d):
-    """The last rule that matches decides."""
-    out = F.lit(False)
-    for _, pattern, ignore in _RULES:
-        out = F.when(F.col("path").like(pattern), F.lit(ignore)).otherwise(out)
-    return P.files(spark, d).select("path", out.alias("ignored")).distinct()
+    """Nested ignore files: the deeper one decides, in it the last line; an ignored folder holds nothing that is not."""
+    rules = [("", "# sevens\n*7.txt\n!*77.txt\n/src1/de/\n"), ("src2/en", "1*\n!12*\n")]
+    return worktree.ignored(P.files(spark, d).select("path").distinct(), rules)
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM documents) WHERE run <= 50000")
@@ -114,15 +121,19 @@ def line_offsets(spark, d):
     return P.read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.size(s).alias("lines"), F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x).alias("start_sum"))
 
 
-@query("SELECT item_id, (length(substr(text, 1, 40)) - length(replace(substr(text, 1, 40), chr(10), '')) + 1)::INT AS line FROM benchmark")
+@query("SELECT item_id, (length(substr(text, 1, length(text) // 2)) - length(replace(substr(text, 1, length(text) // 2), chr(10), '')) + 1)::INT AS line FROM benchmark")
 def line_of_offset(spark, d):
-    starts = X.line_starts(F.col("text"))
-    return P.read(spark, d, "benchmark").select("item_id", F.size(F.filter(starts, lambda s: s <= F.lit(40))).alias("line"))
+    return P.read(spark, d, "benchmark").select("item_id", X.line_of(X.line_starts(F.col("text")), F.floor(F.length("text") / 2)).alias("line"))
+
+
+_FOLDERS = ["src", "tests", "spec", "a/testing", "test", "__tests__/b", "contest"]
+_NAMES = ["test_x.py", "conftest.py", "x_test.go", "x.spec.ts", "test_x.json", "x.py", "x_test.c", "a.test.mjs", "testing.py"]
 
 
-@query("SELECT url, regexp_matches(url, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\\.[^/.]+$|\\.(test|spec)\\.[^/.]+$') AS test FROM pages")
+@query(f"SELECT p_partkey, f IN ('tests', 'a/testing', 'test', '__tests__/b') OR n IN ('test_x.py', 'conftest.py', 'x_test.go', 'x.spec.ts', 'a.test.mjs') AS test FROM (SELECT p_partkey, {_FOLDERS}[p_partkey % 7 + 1] AS f, {_NAMES}[p_partkey % 9 + 1] AS n FROM part)")
 def test_role(spark, d):
-    return P.read(spark, d, "pages").select("url", X.is_test_path(F.col("url")).alias("test"))
+    at = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    return P.read(spark, d, "part").select("p_partkey", X.is_test_path(F.concat_ws("/", at(_FOLDERS), at(_NAMES))).alias("test"))
 
 
 @query("SELECT tail, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.'))) AS tail FROM (SELECT string_split(replace(p_name, ' ', '.'), '.') AS p FROM part)) GROUP BY 1")
@@ -196,24 +207,28 @@ def adjacency(spark, d):
     return catalog.adjacency(P.relations(spark, d), _keys(spark, d))
 
 
-@query(f"WITH {_ADJ}, c AS (SELECT key, sum(count(*)) OVER (ORDER BY key) AS run FROM adj GROUP BY 1) SELECT adj.* FROM adj WHERE key IN (SELECT key FROM c WHERE run <= 500)")
+@query(f"""WITH {_ADJ}, c AS (SELECT key, count(*) FILTER (direction = 'out') AS o, count(*) FILTER (direction = 'in') AS i FROM adj GROUP BY 1),
+r AS (SELECT key, sum(o) OVER (ORDER BY key) AS ro, sum(i) OVER (ORDER BY key) AS ri FROM c) SELECT adj.* FROM adj WHERE key < coalesce((SELECT min(key) FROM r WHERE ro > 500 OR ri > 500), 'z')""")
 def adjacency_allowance(spark, d):
     return catalog.within_allowance(catalog.adjacency(P.relations(spark, d), _keys(spark, d)), 500)
 
 
-@query("WITH u AS (SELECT p_partkey AS site, string_split(replace(p_name, ' ', '.'), '.') AS p FROM part), t AS (SELECT site, unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.'))) AS name FROM u) SELECT name, count(DISTINCT site)::BIGINT AS mentions FROM t WHERE name IN (SELECT string_split(p_name, ' ')[-1] FROM part) GROUP BY 1")
+_OPEN = "SELECT p_partkey AS site, CASE WHEN p_partkey % 4 = 3 THEN 'imports' ELSE 'calls' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '::') ELSE replace(p_name, ' ', '.') END AS text FROM part"
+
+
+@query(f"WITH o AS ({_OPEN}), n AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS name FROM part) SELECT name, count(*)::BIGINT AS mentions FROM o JOIN n ON text = name OR ends_with(text, '.' || name) OR ends_with(text, '::' || name) WHERE kind IN ('calls', 'references') GROUP BY 1")
 def mentions_count(spark, d):
-    part = P.read(spark, d, "part")
-    rel = part.select(F.col("p_partkey").alias("site"), F.lit("unresolved").alias("resolution"), F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("text"))
-    return catalog.mentions(rel, part.select(F.element_at(F.split("p_name", " "), -1).alias("name")).distinct())
+    part, k = P.read(spark, d, "part"), F.col("p_partkey")
+    rel = part.select(k.alias("site"), F.when(k % 4 == 3, "imports").otherwise("calls").alias("kind"), F.lit("unresolved").alias("resolution"),
+                      F.replace(F.col("p_name"), F.lit(" "), F.when(k % 2 == 0, "::").otherwise(".")).alias("text"))
+    return catalog.mentions(rel, part.select(F.element_at(F.split("p_name", " "), -1).alias("name")).distinct(), ("calls", "references"))
 
 
 @query(f"WITH {P.SQL}, k AS (SELECT 'supplier:' || s_suppkey AS key FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 1) SELECT site, kind, source, target, label FROM labelled WHERE source IN (FROM k) OR target IN (FROM k)")
 def relations_of(spark, d):
     """All relations of one entity, here the supplier with the largest balance."""
     top = P.read(spark, d, "supplier").sort(F.desc("s_acctbal"), "s_suppkey").limit(1).select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("key"))
-    r = P.relations(spark, d)
-    return r.join(F.broadcast(top), (F.col("source") == F.col("key")) | (F.col("target") == F.col("key"))).select("site", "kind", "source", "target", catalog.label().alias("label"))
+    return catalog.touching(P.relations(spark, d), top).select("site", "kind", "source", "target", catalog.label().alias("label"))
 
 
 @query(f"WITH {P.SQL}, cr AS (SELECT 'contains' AS kind, parent AS source, key AS target FROM entities WHERE key NOT IN (SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_acctbal < 0)), en AS (SELECT key FROM entities UNION ALL SELECT 'repo') SELECT 'parents' AS rule, key FROM en WHERE key <> 'repo' AND (SELECT count(*) FROM cr WHERE target = key) <> 1 UNION ALL SELECT 'repeated key', key FROM en GROUP BY key HAVING count(*) > 1 UNION ALL SELECT 'missing endpoint', k FROM (SELECT source AS k FROM cr UNION SELECT target FROM cr) WHERE k NOT IN (SELECT key FROM en)")
@@ -300,13 +315,140 @@ def snapshot_diff(spark, d):
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_event_per_key(spark, d):
-    return delta.latest(P.read(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"]).join(
-        P.read(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id"), "user_id").select("user_id", "event_id", "event_type")
+    return delta.latest(P.read(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_id", "event_type"])
 
 
-@query(_BM25 + ", g AS (SELECT item_id, rank FROM rk JOIN labels USING (doc_id) WHERE rank <= 20 AND quality = 1) SELECT item_id, count(*)::BIGINT AS gold, sum((rank <= 1)::INT)::BIGINT AS hits_1, sum((rank <= 5)::INT)::BIGINT AS hits_5, sum((rank <= 20)::INT)::BIGINT AS hits_20, min(rank) AS first_rank FROM g GROUP BY 1")
+_PLAIN = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(_BM25 + f""", nd AS (SELECT doc_id, ' ' || {_PLAIN} || ' ' AS t FROM documents), ni AS (SELECT item_id, string_split({_PLAIN}, ' ') AS w FROM benchmark),
+g AS (SELECT item_id, doc_id FROM ni JOIN nd ON contains(t, ' ' || array_to_string(w[1:8], ' ') || ' ') WHERE len(w) >= 8)
+SELECT item_id, count(*)::BIGINT AS gold, sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END)::BIGINT AS hits_1, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END)::BIGINT AS hits_5, sum(CASE WHEN rank <= 20 THEN 1 ELSE 0 END)::BIGINT AS hits_20, min(rank) AS first_rank
+FROM g LEFT JOIN (SELECT * FROM rk WHERE rank <= 20) USING (item_id, doc_id) GROUP BY 1""")
 def retrieval_quality(spark, d):
-    """Ranks of the good documents among the first 20 of each benchmark query."""
+    """How the documents that hold an item's first eight words rank among the first 20 for the item's text."""
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
+    of = lambda t, k: P.read(spark, d, t).select(k, words.alias("w")).where("size(w) >= 8")
+    eight = lambda i: F.array_join(F.slice("w", i, 8), " ")
+    held = of("documents", "doc_id").select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), eight)).alias("g")).distinct()
+    gold = of("benchmark", "item_id").select("item_id", eight(1).alias("g")).join(held, "g").select("item_id", "doc_id")
     ranked = lexical.bm25(lexical.postings(P.read(spark, d, "documents"), "doc_id", "text"), P.read(spark, d, "benchmark"), "doc_id", "item_id", "text", 20)
-    gold = ranked.join(P.read(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id").select("item_id", "doc_id")
     return metrics.per_query(ranked, gold, "item_id", "doc_id")
+
+
+_FULL = f"""{P.SQL}, full_rel AS (SELECT kind, source, target, resolution, basis FROM relations UNION ALL SELECT 'contains', parent, key, 'resolved', 'syntactic' FROM entities)"""
+
+
+def _full(spark, d):
+    """Relations and containment of the test graph."""
+    tree = P.entities(spark, d).select(F.lit(None).cast("long").alias("site"), F.lit("contains").alias("kind"), F.col("parent").alias("source"), F.col("key").alias("target"), F.lit("resolved").alias("resolution"), F.lit("syntactic").alias("basis"))
+    return P.relations(spark, d).unionByName(tree)
+
+
+@query(None)
+def blast_radius(spark, d):
+    """The bounded walk of every supplier and nation, with its caps in the order of the walk."""
+    e = P.entities(spark, d).where("kind in ('supplier', 'nation')").select("key", F.lit("symbol").alias("category"), "name", (F.col("kind") == "nation").alias("test"), F.col("parent").alias("path"))
+    others = P.entities(spark, d).select("key", F.lit("symbol").alias("category"), "name", F.col("key").endswith("7").alias("test"), F.col("parent").alias("path"))
+    return walk.blast_radius(others, _full(spark, d).withColumn("text", F.lit(None).cast("string"))).join(e.select("key"), "key", "left_semi").withColumn("files", F.array_join("files", ","))
+
+
+@query(f"""WITH {_FULL}, ks AS (SELECT 'part:' || p_partkey AS key FROM part UNION ALL SELECT 'nation:' || n_nationkey FROM nation),
+n AS (SELECT source AS key, target AS other, CASE WHEN kind = 'contains' THEN 0 ELSE 2 END AS part, CASE WHEN kind = 'contains' THEN 'child:' || source ELSE kind || ':out:' || source END AS origin FROM full_rel WHERE kind = 'contains' OR basis <> 'heuristic'
+ UNION SELECT target, source, CASE WHEN kind = 'contains' THEN 1 ELSE 2 END, CASE WHEN kind = 'contains' THEN 'scope:' || target ELSE kind || ':in:' || target END FROM full_rel WHERE (kind = 'contains' AND source <> 'repo') OR (kind <> 'contains' AND basis <> 'heuristic')),
+r AS (SELECT *, row_number() OVER (PARTITION BY key, part ORDER BY other, origin) AS r FROM n WHERE key IN (FROM ks)),
+f AS (SELECT *, row_number() OVER (PARTITION BY key, other ORDER BY part, r) AS one FROM r WHERE part = 1 OR r <= 16),
+p AS (SELECT key, other, origin, row_number() OVER (PARTITION BY key ORDER BY part, r)::INT AS place FROM f WHERE one = 1) SELECT * FROM p WHERE place <= 16""")
+def route_neighbours(spark, d):
+    keys = _keys(spark, d).unionByName(P.read(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("key")))
+    return routing.neighbours(_full(spark, d), keys)
+
+
+@query(f"WITH {P.SQL}, d AS (SELECT source AS key, kind, 'out' AS direction, label FROM labelled UNION ALL SELECT target, kind, 'in', label FROM labelled) SELECT key, kind, direction, count(*) FILTER (label = 'proven')::BIGINT AS proven, count(*) FILTER (label = 'heuristic')::BIGINT AS heuristic, count(*) FILTER (label = 'ambiguous')::BIGINT AS ambiguous, 0::BIGINT AS unresolved FROM d WHERE key IN (SELECT 'part:' || p_partkey FROM part) GROUP BY ALL")
+def link_directions(spark, d):
+    return catalog.links(P.relations(spark, d), _keys(spark, d))
+
+
+@query("""WITH h AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE p_type END AS hint FROM part UNION SELECT 'no such'), f AS (SELECT DISTINCT p_type AS path FROM part UNION SELECT upper(p_brand) FROM part UNION SELECT lower(p_brand) FROM part),
+x AS (SELECT hint, count(*) FILTER (lower(path) = lower(hint)) AS n, count(*) FILTER (path = hint) AS same, min(path) FILTER (lower(path) = lower(hint)) AS one FROM h, f GROUP BY 1)
+SELECT hint, CASE WHEN same > 0 THEN hint WHEN n = 1 THEN one END AS path, CASE WHEN same > 0 OR n = 1 THEN NULL WHEN n > 1 THEN 'ambiguous' ELSE 'not_found' END AS problem, n AS count FROM x""")
+def hint_issues(spark, d):
+    """What path hints mean: exact, else the only one that differs in case alone."""
+    part = P.read(spark, d, "part")
+    hints = part.select(F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("hint")).unionByName(spark.range(1).select(F.lit("no such").alias("hint"))).distinct()
+    files = part.select(F.explode(F.array("p_type", F.upper("p_brand"), F.lower("p_brand"))).alias("path")).distinct()
+    return retrieval.path_hints(files, hints)
+
+
+_SYMBOLS = "sy AS (SELECT 'symbol:m' || (p_partkey % 7) || '#' || replace(p_name, ' ', '.') || CASE WHEN p_partkey % 5 = 0 THEN '~1' ELSE '' END AS key, replace(p_name, ' ', '.') AS path FROM part), hn AS (SELECT DISTINCT array_to_string(string_split(p_name, ' ')[-2:], '.') AS hint FROM part)"
+
+
+@query(f"WITH {_SYMBOLS} SELECT hint, key FROM (SELECT *, row_number() OVER (PARTITION BY hint ORDER BY key) AS r FROM (SELECT DISTINCT hint, key FROM sy JOIN hn ON path = hint OR ends_with(path, '.' || hint))) WHERE r <= 8")
+def symbol_suffix_hint(spark, d):
+    k, name = F.col("p_partkey"), F.replace(F.col("p_name"), F.lit(" "), F.lit("."))
+    part = P.read(spark, d, "part")
+    e = part.select(F.concat(F.lit("symbol:m"), (k % 7).cast("string"), F.lit("#"), name, F.when(k % 5 == 0, "~1").otherwise("")).alias("key"), F.lit("symbol").alias("category"), F.element_at(F.split("p_name", " "), -1).alias("name"))
+    hints = part.select(F.split("p_name", " ").alias("w")).select(F.array_join(F.slice("w", F.greatest(F.size("w") - 1, F.lit(1)), 2), ".").alias("hint")).distinct()
+    return retrieval.symbol_hints(e, hints)
+
+
+_SEEDS = "sd AS (SELECT c_nationkey AS query, c_custkey AS seq, 'k' || (c_custkey % 90) AS key, CASE WHEN c_custkey % 2 = 0 THEN 'path' ELSE 'symbol' END AS kind, c_name AS hint FROM customer), hi AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY key)::INT AS rank FROM (SELECT DISTINCT s_nationkey AS query, 'k' || (s_suppkey % 120) AS key FROM supplier))"
+
+
+@query(f"WITH {_SEEDS}, s AS (SELECT query, key, min(seq) AS seq, string_agg(kind || ':' || hint, ',' ORDER BY seq) AS seeds FROM sd GROUP BY 1, 2) SELECT query, key, coalesce(seeds, '') AS seeds, rank, row_number() OVER (PARTITION BY query ORDER BY seq NULLS LAST, rank NULLS LAST, key)::INT AS place FROM s FULL JOIN hi USING (query, key)")
+def seed_then_lexical(spark, d):
+    """Seeds in their order, then lexical hits; an entity that is both keeps its first place and all evidence."""
+    c = F.col("c_custkey")
+    seeds = P.read(spark, d, "customer").select(F.col("c_nationkey").alias("query"), c.alias("seq"), F.concat(F.lit("k"), (c % 90).cast("string")).alias("key"), F.when(c % 2 == 0, "path").otherwise("symbol").alias("kind"), F.col("c_name").alias("hint"))
+    hits = P.read(spark, d, "supplier").select(F.col("s_nationkey").alias("query"), F.concat(F.lit("k"), (F.col("s_suppkey") % 120).cast("string")).alias("key")).distinct()
+    hits = hits.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("key")))
+    return retrieval.merged(seeds, hits).withColumn("seeds", F.array_join("seeds", ","))
+
+
+@query("""SELECT p_partkey, CASE WHEN c NOT IN ('symbol', 'file') OR (c = 'file' AND NOT seeded AND rank IS NULL) THEN 0.2 WHEN seeded THEN 0.9 WHEN rank IS NOT NULL THEN greatest(greatest(0.5, 0.85 - 0.025 * (rank - 1)) * w, 0.4) WHEN depth = 1 THEN greatest(0.45 * w, 0.4) ELSE 0.3 * w END::DECIMAL(9, 6) AS value
+FROM (SELECT p_partkey, ['symbol', 'file', 'module', 'symbol'][p_partkey % 4 + 1] AS c, p_partkey % 11 = 0 AS seeded, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 30 + 1 END AS rank, p_partkey % 3 AS depth, CASE WHEN p_partkey % 5 = 0 THEN 0.5 ELSE 1.0 END AS w FROM part)""")
+def candidate_value(spark, d):
+    k = F.col("p_partkey")
+    category = F.element_at(F.array(*map(F.lit, ["symbol", "file", "module", "symbol"])), (k % 4 + 1).cast("int"))
+    return P.read(spark, d, "part").select("p_partkey", X.relevance(category, k % 11 == 0, F.when(k % 3 == 0, k % 30 + 1), k % 3, k % 5 == 0, 0.5).cast("decimal(9,6)").alias("value"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 1, 2) THEN ['a.b', 'a', 'c.d'][p_partkey % 6 + 1] END AS module FROM part""")
+def module_names(spark, d):
+    paths = ["a/b.py", "a/__init__.py", "c/d.py", "c-x/d.py", "c/d.txt", "1a/b.py"]
+    path = F.element_at(F.array(*map(F.lit, paths)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return P.read(spark, d, "part").select("p_partkey", X.module_name(path).alias("module"))
+
+
+@query("""SELECT item_id, '{"id":"' || item_id || '","length":' || length(text) || ',"lines":' || (length(text) - length(replace(text, chr(10), '')) + 1) || '}' AS json FROM benchmark""")
+def canonical_rows(spark, d):
+    return P.read(spark, d, "benchmark").select("item_id", X.canonical_json({"lines": F.size(F.split("text", "\n")), "id": F.col("item_id").cast("string"), "length": F.length("text")}).alias("json"))
+
+
+@query("SELECT doc_id, strlen(substr(text, 1, length(text) // 3))::INT AS bytes FROM documents")
+def char_to_byte(spark, d):
+    return P.read(spark, d, "documents").select("doc_id", X.char_to_byte(F.col("text"), F.floor(F.length("text") / 3).cast("int")).alias("bytes"))
+
+
+@query("SELECT lang, median(n_chars)::DOUBLE AS median, min(n_chars)::BIGINT AS least, max(n_chars)::BIGINT AS most FROM documents GROUP BY 1")
+def sample_median(spark, d):
+    return P.read(spark, d, "documents").groupBy("lang").agg(F.percentile("n_chars", 0.5).alias("median"), F.min("n_chars").cast("long").alias("least"), F.max("n_chars").cast("long").alias("most"))
+
+
+@query(f"""WITH {_SPANS} SELECT path, key, s AS start, e AS "end", row_number() OVER (ORDER BY path, s, e DESC, key) AS at FROM sp WHERE path < 5""")
+def declarations_order(spark, d):
+    e = _spans(spark, d).select(F.lit("symbol").alias("category"), "path", "key", F.col("s").alias("start"), F.col("e").alias("end"))
+    some = catalog.declarations(e, P.read(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("path")))
+    at = F.row_number().over(W.orderBy("path", "start", F.desc("end"), "key"))
+    return some.withColumn("at", at.cast("long")).select("path", "key", "start", "end", "at")
+
+
+@query(None)
+def pack_context(spark, d):
+    """For each language the first documents, as much of them as 400 units hold."""
+    w = W.partitionBy("lang").orderBy("doc_id")
+    docs = P.read(spark, d, "documents").withColumn("place", F.row_number().over(w)).where("place <= 12 and lang is not null")
+    pools = docs.select(F.col("lang").alias("query"), "place", F.concat(F.lit("symbol:"), F.col("doc_id").cast("string"), F.lit("#d")).alias("key"), F.lit("symbol").alias("category"), F.lit("d").alias("name"),
+                        F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("start"), F.octet_length("text").alias("end"), F.lit(False).alias("test"), F.lit(0).alias("depth"), F.col("place").alias("rank"),
+                        F.array().cast("array<string>").alias("seeds"), F.lit(False).alias("hinted"), F.col("text").alias("source"))
+    return packing.pack_tables(pools, 400)

@@ -14,8 +14,8 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def latest(events: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """The last event of each key."""
-    last = events.groupBy(key).agg(F.max(F.struct(*order, *columns)).alias("x"))
+    """The last event of each key: the columns asked for, which may be among those that give the order."""
+    last = events.groupBy(key).agg(F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("x"))
     return last.select(key, *[F.col(f"x.{c}").alias(c) for c in columns])
 
 

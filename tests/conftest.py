@@ -13,3 +13,15 @@ def spark(tmp_path_factory):
          .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('stage')}").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    """Plans of a few rows: two partitions, and no time spent on compiling code."""
+    wanted = {"spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
