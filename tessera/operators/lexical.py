@@ -36,14 +36,14 @@ def ranked(post: DataFrame, length: DataFrame, stat: DataFrame, queries: DataFra
     asked = stage(term_counts(queries, query, query_text).select(query, "term"))
     small = asked.count() <= BROADCAST
     hint = F.broadcast if small else (lambda x: x)
-    terms = asked.select("term").distinct()
-    near = stage(post.join(hint(terms), "term", "left_semi"))
-    df = near.groupBy("term").agg(F.count("*").alias("df"))
-    idf = asked.join(df, "term").crossJoin(F.broadcast(stat.select("n", "avgdl")))  # one row
-    idf = idf.select(query, "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hit = near.join(length, key).join(hint(idf), "term")
+    near = stage(post.join(hint(asked.select("term").distinct()), "term", "left_semi"))
+    df = near.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stat.select("n", "avgdl")))  # one row
+    idf = df.select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy(query, key).agg(F.sum(F.round(F.col("idf") * part * 1e6).cast("long")).alias("score_micro"))
+    # What a posting adds is the same for every query that asks for its term: worked out once, before queries multiply it.  The
+    # postings stay dealt by document, so the sums need no further shuffle where query terms are broadcast.
+    adds = near.join(hint(idf), "term").join(length.hint("merge"), key).select(key, "term", F.round(F.col("idf") * part * 1e6).cast("long").alias("adds"))
+    scored = adds.join(hint(asked), "term").groupBy(query, key).agg(F.sum("adds").alias("score_micro"))
     rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score_micro"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
