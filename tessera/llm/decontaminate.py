@@ -127,8 +127,8 @@ class Windows:
 
 
 def chunks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items as (id, text) lists of bounded size, one at a time on the driver."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    """The distinct items as (id, text) lists of bounded size, one at a time on the driver; equal rows count once."""
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).distinct()
     total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n = -(-2 * total // limit) if total > limit else 1
     for k in range(n):

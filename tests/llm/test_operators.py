@@ -225,6 +225,13 @@ def test_decontamination_without_item_id(spark, docs, limit):
     assert (got[5].n_hit, got[5].runs, got[5].items) == (50, [10, 40, 60, 80], ["5"])
 
 
+def test_decontamination_repeated_items(spark):
+    """Equal rows of the benchmark, however many, reach the driver once."""
+    bench = spark.createDataFrame([("5", prose(30))] * 500 + [("6", None)] * 500 + [(None, "x")] * 500, "item_id string, text string")
+    got = list(decontaminate.chunks(bench, "item_id", "text", 1 << 20))
+    assert len(got) == 1 and len(got[0]) == 3
+
+
 def test_quality(spark):
     rows = [(i, ("GOOD!! " if i % 3 == 0 else "calm words, ") * (i % 7 + 3)) for i in range(600)] + [(600, None), (601, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
