@@ -6,8 +6,9 @@ the ranges between them, and ranges that come out too full are subdivided by sam
 With the exact totals of all ranges (a table of bounded length) each record knows how many bytes
 stand before it, so shard sizes differ by about one record or small group.
 
-Groups of equal texts below ``WHOLE`` of a shard go to one shard; larger ones may be cut.  Texts are
-read once; only keys and sizes are shuffled.
+One law holds for every group of equal texts: it goes to the shard of its middle byte as a whole while it is smaller than
+the share ``whole`` of a shard, and is dealt row by row otherwise, because a group kept whole moves the shard's size by
+half its own.  ``whole`` is thus the bound of a shard's deviation.  Texts are read once; only keys and sizes are shuffled.
 
 Defined results: null text: size 1, crc 0; null or repeated ids: each row has its own slot; rows that
 are equal in all respects share the law but may swap slots; an empty table gives an empty table; a single row goes to one shard.
@@ -30,7 +31,7 @@ from tessera.llm.shared import stage
 PER_SPLITTER = 16
 ROWS_A_RANGE = 200_000
 RANGES = (64, 4096)
-#: A group of equal texts below this share of a shard is kept whole.
+#: Default of ``whole``.
 WHOLE = 0.005
 _KEY = ["k", "i", "p"]
 
@@ -76,8 +77,9 @@ def _ranges(df: DataFrame, cuts: list[tuple]) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each record: id, size, text_crc32, law, shard int, slot long (gapless from 0 in each shard)."""
+def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", whole: float = WHOLE) -> DataFrame:
+    """One row for each record: id, size, text_crc32, law, shard int, slot long (gapless from 0 in each shard).  Groups of equal
+    texts below the share ``whole`` of a shard stay together; 0 deals every row by its own place."""
     spark = df.sparkSession
     clean = F.coalesce(F.col(text), F.lit(""))
     keyed = stage(df.select(
@@ -114,7 +116,7 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "t
     share = max(total, 1) / shards
     own = F.col("bytes_before") + F.col("done") - F.col("size") / 2
     spread = spread.withColumn("g", F.sum("size").over(group)).withColumn("g0", F.min(F.col("bytes_before") + F.col("done") - F.col("size")).over(group))
-    place = F.when(F.col("g") < WHOLE * share, F.col("g0") + F.col("g") / 2).otherwise(own)
+    place = F.when(F.col("g") < whole * share, F.col("g0") + F.col("g") / 2).otherwise(own)
     placed = stage(spread.select(
         "id", "size", "crc", (F.col("rows_before") + F.col("row") - 1).alias("at"),
         F.least(F.lit(shards - 1), F.floor(place / F.lit(share)).cast("int")).alias("shard")))

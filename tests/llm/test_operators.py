@@ -440,6 +440,12 @@ def test_shards(spark, empty):
     for r in got:
         assert r.text_crc32 in text[r.doc_id] and r.law == "bytes"
     assert shards.shard(empty).count() == 0 and [r.slot for r in shards.shard(df.limit(1)).collect()] == [0]
+    small = spark.createDataFrame([(i, "pair" + str(i // 2)) for i in range(4000)], "doc_id long, text string")
+    for whole, most in ((shards.WHOLE, 1), (0.0, 2)):  # two equal texts part only where every row is dealt by its own place
+        per = {}
+        for r in shards.shard(small, whole=whole).collect():
+            per.setdefault(r.text_crc32, set()).add(r.shard)
+        assert max(map(len, per.values())) <= most and {x for v in per.values() for x in v} == set(range(8))
 
 
 @pytest.mark.parametrize(("k", "t", "block"), [(3, Fraction(9, 10), 768), (5, Fraction(4, 5), 3)])
