@@ -11,8 +11,8 @@ def merge(spans: DataFrame, by: str, gap: int = 0) -> DataFrame:
     """Islands of spans (s, e) that overlap or lie at most ``gap`` apart."""
     w = W.partitionBy(by).orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(reach.isNull() | (F.col("s") > reach + gap), 1).otherwise(0)).over(w)
-    return (spans.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + gap), 1).otherwise(0)).over(w))
+    island = F.sum(F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + gap), 1).otherwise(0)).over(w)
+    return (spans.withColumn("reach", reach).withColumn("island", island)
             .groupBy(by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n")).drop("island"))
 
 
@@ -21,8 +21,20 @@ def ordinals(df: DataFrame, same: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("ordinal", F.row_number().over(W.partitionBy(*same).orderBy(*order)) - 1)
 
 
+def holding(spans: DataFrame, probes: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """Probes (``by``, start, end) joined with the spans (``by``, s, e, ...) that hold them; ``how="left"`` keeps the others, with nulls.
+    A span of 2^k to 2^(k+1) - 1 lies in at most three blocks of 2^k, a probe's start in one block of each k: an equi-join on (``by``, k,
+    block) meets each pair once and spreads a path of many spans. A span that ends before it starts holds nothing."""
+    sized = spans.where("e >= s").withColumn("level", F.expr("length(bin(greatest(e - s, 1))) - 1"))
+    cut = sized.withColumn("block", F.explode(F.expr("sequence(shiftright(s, level), shiftright(e, level))"))).withColumnRenamed(by, "of")
+    levels = sized.agg(F.collect_set("level").alias("levels"))  # one row, at most 63 numbers
+    asked = (probes.crossJoin(F.broadcast(levels)).withColumn("at", F.explode_outer("levels")).withColumn("place", F.expr("shiftright(start, at)")))
+    on = (F.col(by) == F.col("of")) & (F.col("at") == F.col("level")) & (F.col("place") == F.col("block")) & F.expr("s <= start and e >= end")
+    return asked.join(cut, on, how).drop("levels", "at", "place", "level", "block", "of")
+
+
 def depth(spans: DataFrame, by: str) -> DataFrame:
     """Number of spans that strictly enclose each span."""
-    a, b = spans.alias("a"), spans.alias("b")
-    on = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("b.s") <= F.col("a.s")) & (F.col("b.e") >= F.col("a.e")) & ((F.col("b.s") < F.col("a.s")) | (F.col("b.e") > F.col("a.e")))
-    return a.join(b, on, "left").groupBy(f"a.{by}", "a.s", "a.e").agg(F.count("b.s").alias("depth"))
+    probes = spans.select(by, F.col("s").alias("start"), F.col("e").alias("end"))
+    held = holding(spans.select(by, "s", "e"), probes, by, "left")
+    return held.groupBy(by, "start", "end").agg(F.count_if(F.expr("s < start or e > end")).alias("depth")).withColumnsRenamed({"start": "s", "end": "e"})
