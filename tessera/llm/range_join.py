@@ -4,7 +4,8 @@ Cosine >= c is a distance of at most r = sqrt(2 - 2c) between unit vectors.  Piv
 without vectors that nearly coincide) partition the vectors: each vector's home is the nearest pivot's cell.  By the triangle inequality a vector
 x can have partners at home in the cell of pivot p only if (d(x,p)^2 - d(x,h)^2) / (2 d(p,h)) <= r, where h
 is its own pivot, and only if d(x,p) is within r of the distances that the cell's members have.  So x is
-sent to these cells only, and every cell joins independently.
+sent to these cells only, and every cell joins independently.  Both ends of a link would send to the other's cell, so of
+two cells only one sends to the other, chosen by their numbers: each pair meets once and counts for both.
 
 A cell's members are cut into blocks of at most ``BLOCK`` bytes and its visitors into salted runs, so that a
 task never holds a whole cell; tasks give sums of links and stars of linked vectors, never all
@@ -80,6 +81,11 @@ def _apart(v: np.ndarray) -> np.ndarray:
     return v[kept]
 
 
+def _sends(home, cell):
+    """Whether vectors at home in one cell visit the other: of two cells exactly one does, of all others about half."""
+    return (home < cell) ^ ((home + cell) % 2 == 1)
+
+
 def _homes(pivots: dict[int, np.ndarray]):
     """dim, home and distance to the home's pivot; a length without pivots has one cell, -1."""
 
@@ -100,7 +106,8 @@ def _homes(pivots: dict[int, np.ndarray]):
 
 
 def _visits(pivots: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[int, float, float]], r: float):
-    """One row for each block of each cell that a vector must meet, as a visitor (all) and as a member (own block)."""
+    """One row for each block of each cell that a vector must meet: as a visitor from the cell itself (role 0) or another (1),
+    and as a member (2, own block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,7 +116,7 @@ def _visits(pivots: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[in
                 home, place = np.asarray(part.column(4)), np.asarray(part.column(1))
                 mine = np.arange(len(x))
                 salt = ((place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-                rows, cell, block, run_, member = [], [], [], [], []
+                rows, cell, block, run_, role = [], [], [], [], []
                 dist = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots[d].T)) if d in pivots else np.zeros((len(x), 1))
                 between = np.sqrt(np.maximum(1e-300, 2 - 2 * pivots[d] @ pivots[d].T)) if d in pivots else np.ones((1, 1))
                 for p in range(dist.shape[1]) if d in pivots else (-1,):
@@ -118,38 +125,39 @@ def _visits(pivots: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[in
                         continue
                     at = dist[:, max(p, 0)]
                     own = np.asarray(part.column(5))
-                    go = (home == p) | (((at**2 - own**2) / (2 * between[max(p, 0), np.maximum(home, 0)]) <= r + _SLACK) & (at <= high + r + _SLACK) & (at >= low - r - _SLACK))
+                    go = (home == p) | (_sends(home, p) & ((at**2 - own**2) / (2 * between[max(p, 0), np.maximum(home, 0)]) <= r + _SLACK) & (at <= high + r + _SLACK) & (at >= low - r - _SLACK))
                     who = mine[go]
                     blocks, runs = -(-size // max(256, BLOCK // (8 * d))), -(-(size * 4) // RUN)
                     for k in range(blocks):
                         rows.append(who), cell.append(np.full(len(who), p)), block.append(np.full(len(who), k))
-                        run_.append(salt[who] % runs), member.append(np.zeros(len(who), bool))
+                        run_.append(salt[who] % runs), role.append((home[who] != p).astype(np.int8))
                     who = mine[home == p]
                     for k in range(runs):  # each run of visitors needs its block of members
                         rows.append(who), cell.append(np.full(len(who), p)), block.append(salt[who] // 65536 % blocks)
-                        run_.append(np.full(len(who), k)), member.append(np.ones(len(who), bool))
+                        run_.append(np.full(len(who), k)), role.append(np.full(len(who), 2, np.int8))
                 if rows:
                     at = pa.array(np.concatenate(rows))
                     key = (np.concatenate(cell).astype(np.int64) + 1) << 40 | np.concatenate(block).astype(np.int64) << 20 | np.concatenate(run_).astype(np.int64)
                     for i in range(0, len(at), 20_000):
                         pick = at.slice(i, 20_000)
                         n = len(pick)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d), pa.int32()), pa.array(key[i : i + n]), pa.array(np.concatenate(member)[i : i + n]),
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d), pa.int32()), pa.array(key[i : i + n]), pa.array(np.concatenate(role)[i : i + n]),
                                                           part.column(0).take(pick), part.column(1).take(pick), part.column(2).take(pick)],
-                                                         ["dim", "task", "member", "id", "place", "unit"])
+                                                         ["dim", "task", "role", "id", "place", "unit"])
 
     return run
 
 
 def _join(c: float):
-    """Links of the visitors of one block: (id, place, links) with far null, and stars (id, far)."""
+    """Links of one block, of its visitors and, with those from other cells, its members: (id, place, n) and stars (id, far)."""
+    names = ["id", "place", "n", "far", "star"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, mid, mplace = None, [], [], []
         m = ids = places = None
         for b in batches:
-            dims, tasks, kind = (np.asarray(b.column(i)) if i < 2 else b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            cuts = np.flatnonzero((np.diff(tasks) != 0) | (np.diff(dims) != 0) | (np.diff(kind.astype(np.int8)) != 0)) + 1
+            dims, tasks, role = (np.asarray(b.column(i)) for i in range(3))
+            cuts = np.flatnonzero((np.diff(tasks) != 0) | (np.diff(dims) != 0) | (np.diff(role) != 0)) + 1
             for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tasks)], strict=True):
                 if i == j:
                     continue
@@ -158,7 +166,7 @@ def _join(c: float):
                     key, members, mid, mplace, m = now, [], [], [], None
                 x = _matrix(part.column(5), now[0])
                 pid, pplace = np.asarray(part.column(3)), np.asarray(part.column(4))
-                if kind[i]:
+                if role[i] == 2:
                     members.append(x), mid.append(pid), mplace.append(pplace)
                     m = None
                     continue
@@ -178,14 +186,17 @@ def _join(c: float):
                     a, e = a[other], e[other]
                     if not len(a):
                         continue
-                    n = np.bincount(a, minlength=len(y))
-                    has = np.flatnonzero(n)
+                    ends = [(pid[k : k + step], pplace[k : k + step], np.bincount(a, minlength=len(y)))]
+                    if role[i] == 1:  # the members do not visit the other cell
+                        ends.append((ids, places, np.bincount(e, minlength=len(ids))))
                     node, root = forest(pid[k : k + step][a], ids[e])
                     far = node != root
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate([pid[k : k + step][has], node[far]])), pa.array(np.concatenate([pplace[k : k + step][has], np.zeros(far.sum(), np.int64)])),
-                        pa.array(np.concatenate([n[has], np.zeros(far.sum(), np.int64)])), pa.array(np.concatenate([np.zeros(len(has), np.int64), root[far]])),
-                        pa.array(np.concatenate([np.zeros(len(has), bool), np.ones(far.sum(), bool)]))], ["id", "place", "n", "far", "star"])
+                    zero = np.zeros(far.sum(), np.int64)
+                    for who, where, n in ends:
+                        has = np.flatnonzero(n)
+                        none = np.zeros(len(has), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(who[has]), pa.array(where[has]), pa.array(n[has]), pa.array(none), pa.array(none > 0)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(zero), pa.array(zero), pa.array(root[far]), pa.array(zero == 0)], names)
 
     return run
 
@@ -201,12 +212,13 @@ def link(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: st
     for r in clean.sort(F.xxhash64("place", F.lit(5))).limit(wanted).select("unit").collect():
         pivots.setdefault(len(r.unit) // 8, []).append(bytes(r.unit))
     piv = {d: _apart(np.stack([np.frombuffer(x, float) for x in v])) for d, v in pivots.items()}
-    homed = clean.mapInArrow(tidy(_homes(piv)), "id long, place long, unit binary, dim int, home int, near double")
+    # Staged, so that a vector between two pivots has one home in the cells' sizes, in what is sent and in repeated tasks.
+    homed = stage(clean.mapInArrow(tidy(_homes(piv)), "id long, place long, unit binary, dim int, home int, near double"))
     r = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
     cells = {(x.dim, x.home): (x.n, x.low, x.high) for x in homed.groupBy("dim", "home").agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high")).collect()}
-    sent = homed.mapInArrow(tidy(_visits(piv, cells, r)), "dim int, task long, member boolean, id long, place long, unit binary")
+    sent = homed.mapInArrow(tidy(_visits(piv, cells, r)), "dim int, task long, role byte, id long, place long, unit binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = stage(sent.repartition(parts, "dim", "task").sortWithinPartitions("dim", "task", F.desc("member"))
+    found = stage(sent.repartition(parts, "dim", "task").sortWithinPartitions("dim", "task", F.desc("role"))
                   .mapInArrow(tidy(_join(cosine)), "id long, place long, n long, far long, star boolean"))
     counts = found.where("not star").groupBy("id", "place").agg(F.sum("n").alias("n"))
     groups = components(found.where("star").select(F.col("id").alias("a"), F.col("far").alias("b")))

@@ -91,6 +91,26 @@ def test_range_join_scaled_copies(spark, monkeypatch):
     assert got == {i: (int(n.sum()), min([i, *np.flatnonzero(n).tolist()])) for i, n in enumerate(near)}
 
 
+def test_range_join_across_cells(spark, monkeypatch):
+    """Links inside a cell of several blocks and runs, and between cells, each counted at both ends."""
+    monkeypatch.setattr(range_join, "BLOCK", 1)
+    monkeypatch.setattr(range_join, "RUN", 64)
+    rng = np.random.default_rng(12)
+    v = rng.permutation(np.concatenate([rng.normal(size=(1000, 3)), rng.normal(size=3) + rng.normal(size=(600, 3)) * 0.1]))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in range_join.link(df).collect()}
+    label = np.arange(len(v))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(v)).min(1))
+        if (new == label).all():
+            break
+        label = new
+    assert got == {i: (int(n.sum()), int(label[i])) for i, n in enumerate(near)}
+
+
 def test_licenses(docs, empty):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert [got[i].n_words for i in range(len(TEXTS))] == [len(words(t)) for t in TEXTS]
