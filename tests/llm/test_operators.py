@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -322,6 +323,29 @@ def test_suffix_dedup(docs, empty, length, array, piece):
     assert suffix_dedup.remove(empty, length).count() == 0
 
 
+def test_suffix_dedup_rows_of_hot_runs(spark, small):
+    """Single windows of a hot run go back to its places as one row a place; texts without a period, so a run is shorter than ``length``."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    shared = " ".join(word() for _ in range(40))
+    texts = [f"{' '.join(word() for _ in range(9))} {shared[: 150 + i]} {' '.join(word() for _ in range(9))}" for i in range(24)] * 2
+    out = suffix_dedup.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 60, array=1, piece=4)
+    got = {x.doc_id: x for x in out.collect()}
+    raw = [t.encode() for t in texts]
+    windows = Counter(t[i : i + 60] for t in raw for i in range(len(t) - 59))
+    for n, t in enumerate(raw):
+        gone = {i + k for i in range(len(t) - 59) if windows[t[i : i + 60]] > 1 for k in range(60)}
+        assert bytes(got[n].kept) == bytes(b for i, b in enumerate(t) if i not in gone)
+    places = sum(len(suffix_dedup.runs(np.frombuffer(t, np.uint8), 60, suffix_dedup.gram_of(60))[0]) for t in raw)
+    todo, made = [out._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        todo.extend(node.children().apply(i) for i in range(node.children().size()))
+        if "Join" in node.nodeName() and "name#" in node.leftKeys().toString():
+            made.append(node.metrics().apply("numOutputRows").value())
+    assert len(made) == 1 and 0 < made[0] <= places, (made, places)
+
+
 def test_suffix_dedup_other_splits(spark, tmp_path):
     """Files that the last scan splits otherwise than the first ones."""
     long = [prose(400) for _ in range(40)]
