@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions.text import tails
-from tessera.operators.spans import holding
+from tessera.operators.spans import smallest
 from tessera.operators.staging import stage
 
 
@@ -30,9 +30,9 @@ def named(entities: DataFrame, name: str, limit: int) -> DataFrame:
 
 def innermost(spans: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe (probe, path, start, end) the smallest span (path, s, e, key) that holds it, ties by key."""
-    inside = holding(spans, probes, "path")
-    best = F.min(F.struct((F.col("e") - F.col("s")).alias("width"), "key"))
-    return inside.groupBy("probe").agg(best.alias("b")).select("probe", F.col("b.key").alias("key"), F.col("b.width").alias("width"))
+    best = F.min(F.struct("width", "key"))
+    found = probes.select("probe", "path", "start", "end").join(smallest(spans, probes, "path"), ["path", "start", "end"])
+    return found.groupBy("probe").agg(best.alias("b")).select("probe", F.col("b.key").alias("key"), F.col("b.width").alias("width"))
 
 
 def adjacency(relations: DataFrame, keys: DataFrame) -> DataFrame:

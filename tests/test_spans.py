@@ -42,3 +42,13 @@ def test_no_spans(spark):
     none = spark.createDataFrame([], "path string, s long, e long, key long")
     assert spans.depth(none, "path").count() == 0
     assert catalog.innermost(none, spark.createDataFrame([(1, "a", 0, 1)], "probe long, path string, start long, end long")).count() == 0
+
+
+def test_no_pairs(spark):
+    """Equal spans and equal probes are looked at once, and no join has a row for each pair of a probe and a span that holds it."""
+    rows = [("a", x % 40, x % 40 + 30 + x % 7, x) for x in range(400)]
+    probes = [(x, "a", x % 30 + 30, x % 30 + 33) for x in range(300)]
+    df = catalog.innermost(spark.createDataFrame(rows, "path string, s long, e long, key long"), spark.createDataFrame(probes, "probe long, path string, start long, end long"))
+    want = {k: min(((e - s, key) for _, s, e, key in rows if s <= a and e >= b)) for k, _, a, b in probes}
+    assert {x.probe: (x.width, x.key) for x in df.collect()} == want
+    assert "start#" not in "".join(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "<=" in x)
