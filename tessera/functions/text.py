@@ -25,9 +25,71 @@ def terms(text: Column) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): equal words are counted before they are split."""
-    counted = df.select(key, F.explode(words(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("c"))
-    return counted.select(key, "c", F.explode(word_terms(F.col("w"))).alias("term")).groupBy(key, "term").agg(F.sum("c").alias("tf"))
+    """(key, term, tf): texts move once, to where the rows of a key lie together; words are counted row by row, so no table of words is held."""
+    near = df.where(F.col(text).isNotNull()).select(key, F.col(text).cast("string").alias("text")).repartition(key).sortWithinPartitions(key)
+    kind = df.schema[key].dataType.simpleString()
+    return near.mapInArrow(_counts(key), f"`{key}` {kind}, term string, tf long")
+
+
+def _counts(key: str, rows: int = 100_000, kept: int = 100_000):
+    """Postings of texts (key, text) that are in key order; yields tables of some ``rows`` and remembers the terms of ``kept`` words."""
+    pattern = PART
+
+    def run(batches):
+        import re
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        words, parts = re.compile(r"[A-Za-z0-9_]+").findall, re.compile(pattern).findall
+        known: dict[str, list[str]] = {}
+
+        def terms_of(word):
+            if (out := known.get(word)) is None:
+                ps = parts(word)
+                out = [p.lower() for p in ps if len(p) > 1] + (["".join(ps).lower()] if len(ps) > 1 else [])
+                if len(known) >= kept:
+                    known.clear()
+                known[word] = out
+            return out
+
+        def tally(counted):
+            out: dict[str, int] = {}
+            for word, c in counted.items():
+                for term in terms_of(word):
+                    out[term] = out.get(term, 0) + c
+            return out
+
+        keys, sizes, terms, tfs, held, of = [], [], [], [], None, None
+
+        def put():
+            out = tally(held)
+            keys.append(of), sizes.append(len(out)), terms.extend(out), tfs.extend(out.values())
+
+        def table(kind):
+            columns = [pa.array(keys, kind).take(pa.array(np.repeat(np.arange(len(keys)), sizes))), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())]
+            for x in (keys, sizes, terms, tfs):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[key, "term", "tf"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held is not None and k == of:
+                    held.update(words(t.as_py()))
+                    continue
+                if held is not None:
+                    put()
+                held, of = Counter(words(t.as_py())), k
+                if len(terms) >= rows:
+                    yield table(kind)
+        if held is not None:
+            put()
+            yield table(kind)
+
+    return run
 
 
 def units(text: Column) -> Column:

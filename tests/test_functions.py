@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -19,3 +21,18 @@ def test_refresh_equals_rebuild(spark):
 def test_line_starts(spark):
     df = spark.createDataFrame([("ab\nc\n",), ("",)], "t string").select(X.line_starts(F.col("t")).alias("x"))
     assert [r.x for r in df.collect()] == [[0, 3, 5], [0]]
+
+
+def test_term_counts(spark):
+    """Rows of a key are one document, whatever partitions they come from; counting holds no table of words."""
+    rows = [(1, "aB parseHTTPServer x1 x1"), (2, None), (1, "parse ab"), (3, ""), (None, "Zug zug"), (1, "__ é"), (4, "a 10 abc_DEf")]
+    got = X.term_counts(spark.createDataFrame(rows, "k int, t string").repartition(4), "k", "t")
+    want = {}
+    for k, t in rows:
+        for w in re.findall("[A-Za-z0-9_]+", t or ""):
+            ps = re.findall(X.PART, w)
+            for p in [p.lower() for p in ps if len(p) > 1] + ["".join(ps).lower()] * (len(ps) > 1):
+                want[k, p] = want.get((k, p), 0) + 1
+    assert {(r.k, r.term): r.tf for r in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan
