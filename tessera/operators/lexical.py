@@ -12,6 +12,8 @@ from tessera.operators.staging import stage
 K1, B = 1.2, 0.75
 #: Query terms up to this many rows are broadcast to the postings.
 BROADCAST = 200_000
+#: Matching postings that one task scores.
+ROWS = 250_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,9 +42,11 @@ def ranked(post: DataFrame, length: DataFrame, stat: DataFrame, queries: DataFra
     df = near.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stat.select("n", "avgdl")))  # one row
     idf = df.select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # As many tasks as the postings need, so that a task's memory does not grow with them.
+    parts = max(1, -(-near.count() // ROWS))
     # What a posting adds is the same for every query that asks for its term: worked out once, before queries multiply it.  The
     # postings stay dealt by document, so the sums need no further shuffle where query terms are broadcast.
-    adds = near.join(hint(idf), "term").join(length.hint("merge"), key).select(key, "term", F.round(F.col("idf") * part * 1e6).cast("long").alias("adds"))
+    adds = near.join(hint(idf), "term").repartition(parts, key).join(length.repartition(parts, key).hint("merge"), key).select(key, "term", F.round(F.col("idf") * part * 1e6).cast("long").alias("adds"))
     scored = adds.join(hint(asked), "term").groupBy(query, key).agg(F.sum("adds").alias("score_micro"))
     rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score_micro"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)

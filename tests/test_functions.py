@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import lexical
 from tessera.streaming import delta
 
 
@@ -36,3 +37,15 @@ def test_term_counts(spark):
     assert {(r.k, r.term): r.tf for r in got.collect()} == want and got.count() == len(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan
+
+
+def test_scoring_tasks_grow_with_postings(spark, monkeypatch):
+    """Postings are scored in tasks of some number of rows each, with the same result."""
+    docs = spark.createDataFrame([(k, f"common word{k % 7} word{k % 3}") for k in range(60)], "k long, t string")
+    asked = spark.createDataFrame([(q, f"common word{q}") for q in range(4)], "q long, t string")
+    post = lexical.postings(docs, "k", "t")
+    want = lexical.bm25(post, asked, "k", "q", "t", 5).collect()
+    monkeypatch.setattr(lexical, "ROWS", 10)
+    got = lexical.bm25(post, asked, "k", "q", "t", 5)
+    assert "k#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and max(map(int, re.findall(r"RepartitionByExpression \[k#[^\]]*\], (\d+)", plan))) >= 12
+    assert sorted(got.collect()) == sorted(want)
